@@ -117,27 +117,23 @@ def _within(fp: np.ndarray, a: np.ndarray, b: np.ndarray, max_bits: int) -> np.n
     return np.bitwise_count(fp[a] ^ fp[b]) <= max_bits
 
 
-def _link_large(fp: np.ndarray, max_bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect all that can be linked in one large group: whoever is near a
-    pivot is linked to it; only the rest is compared with all, a block at a time."""
-    links, rest = [], np.arange(len(fp))
-    for _ in range(16):
-        if len(rest) < 2:
-            break
-        bits = np.unpackbits(fp[rest].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        centre = np.packbits(bits.sum(0) * 2 > len(rest), bitorder="little").view(np.uint64)[0]
-        pivot = rest[np.argmin(np.bitwise_count(fp[rest] ^ centre))]
-        near = np.bitwise_count(fp ^ fp[pivot]) <= max_bits
-        hit = np.flatnonzero(near)
-        links.append((np.full(len(hit), pivot), hit))
-        rest = rest[~near[rest]]
-        if len(hit) < 0.02 * len(fp):
-            break
-        # whoever is not near this pivot must still be compared with everything
-    for at in range(0, len(rest), 256):
-        part = rest[at : at + 256]
-        r, c = np.nonzero(np.bitwise_count(fp[part][:, None] ^ fp[None, :]) <= max_bits)
-        links.append((part[r], c))
+def _link_large(fp: np.ndarray, own: np.ndarray, max_bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect what all pairs of an own entry and any other row would connect in
+    one large group. Rows near a central pivot are linked to it; pairs of them need no
+    link of their own. Every pair with a row that isn't near is compared, a block at a time."""
+    bits = np.unpackbits(fp[own].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    centre = np.packbits(bits.sum(0) * 2 > len(bits), bitorder="little").view(np.uint64)[0]
+    owned = np.flatnonzero(own)
+    pivot = owned[np.argmin(np.bitwise_count(fp[owned] ^ centre))]
+    near = np.bitwise_count(fp ^ fp[pivot]) <= max_bits
+    hit = np.flatnonzero(near)
+    links = [(np.full(len(hit), pivot), hit)]
+    for rows, others in ((np.flatnonzero(own & ~near), np.arange(len(fp))), (np.flatnonzero(own & near), np.flatnonzero(~own & ~near))):
+        step = max(1, (1 << 22) // max(1, len(others)))
+        for at in range(0, len(rows), step):
+            part = rows[at : at + step]
+            r, c = np.nonzero(np.bitwise_count(fp[part][:, None] ^ fp[others][None, :]) <= max_bits)
+            links.append((part[r], others[c]))
     return links
 
 
@@ -150,7 +146,7 @@ def link_rows(group: np.ndarray, fp: np.ndarray, own: np.ndarray, max_bits: int)
     links: list[tuple[np.ndarray, np.ndarray]] = []
     wanted = owned & (size > 1)
     for s, n in zip(start[wanted & (size > 256)], size[wanted & (size > 256)], strict=True):
-        links += [(a + s, b + s) for a, b in _link_large(fp[s : s + n], max_bits)]
+        links += [(a + s, b + s) for a, b in _link_large(fp[s : s + n], own[s : s + n], max_bits)]
     small = wanted & (size <= 256)
     for part in np.array_split(np.flatnonzero(small), max(1, int((size[small] ** 2).sum() // 4_000_000))):
         if not len(part):
