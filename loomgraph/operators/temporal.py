@@ -49,7 +49,10 @@ def nodes_at(current: DataFrame, versions: DataFrame | None, at: F.Column) -> Da
 
 
 def nodes_between(current: DataFrame, versions: DataFrame | None, low: F.Column, high: F.Column) -> DataFrame:
-    """One row for every state of the nodes of `current`, the current one included, with a time in [low, high]."""
+    """One row for every state of the nodes of `current`, the current one included, with a time
+    in [low, high]. Tables without times hold nodes that always exist, in one state."""
+    if not {"_created_at", "_updated_at"} & set(current.columns):
+        return current
     inside = current.where(state_time(current).between(low, high))
     if versions is None:
         return inside
