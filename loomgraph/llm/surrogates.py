@@ -219,11 +219,13 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
 def replace(docs: DataFrame, key: str = "loomgraph", text: str = "text") -> DataFrame:
     """`docs` with every detected entity of `text` replaced, and n_entities (long) added.
 
-    All columns and rows stay, and so does a null or empty text; rows without entities
-    are passed through untouched. Repeated rows are replaced alike. Only rows with
+    All columns and rows stay (but columns of the names it adds or works with: n_entities and
+    __found, __digest, __shown, __new), and so does a null or empty text; rows without
+    entities are passed through untouched. Repeated rows are replaced alike. Only rows with
     entities are shuffled, and only distinct entities are compared with each other.
     """
     found_name, digest_name = "__found", "__digest"
+    docs = docs.drop("n_entities", found_name, digest_name, "__shown", "__new")
     marked = docs.withColumn(found_name, matches(text_or_empty(text)))
     with_any = marked.where(F.size(found_name) > 0).withColumn(digest_name, F.sha2(F.col(text).cast("binary"), 256))
     plain_rows = marked.where(F.size(found_name) == 0).drop(found_name).withColumn("n_entities", F.lit(0).cast("long"))
