@@ -7,7 +7,7 @@ one thing the last row's counts; MERGE creates one thing for each distinct key.
 
 from __future__ import annotations
 
-
+import copy
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -45,7 +45,7 @@ class StoreSession(Session):
     def _run(self, query: t.Query, params: dict, now_ms: int) -> Result:
         own = self.change is None
         change = self.store.begin() if own else self.change
-        before = (dict(change.manifest), change._graph)
+        before = copy.deepcopy(change.manifest)
         writer = _Writer(self, change, needs_of(query), params, now_ms)
         try:
             frame = writer.run(query)
@@ -53,7 +53,7 @@ class StoreSession(Session):
                 change.commit()
         except BaseException:
             if not own:  # the statement leaves no trace in its transaction
-                change.manifest, change._graph = before[0], None
+                change.manifest, change._graph = before, None
             raise
         for hook, changes in writer.after:
             hook(changes)

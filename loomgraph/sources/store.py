@@ -100,9 +100,12 @@ class LoomStore:
 
     # -- whole tables, for loading at scale
 
-    def load_nodes(self, label: str, df: DataFrame, id_column: str | None = None, now_ms: int = 0) -> None:
-        """Append a table as nodes of a label; ids are `id_column`'s, else new ones."""
+    def load_nodes(self, label: str, df: DataFrame, id_column: str | None = None, now_ms: int = 0, batch: tuple[str, int] | None = None) -> None:
+        """Append a table as nodes of a label; ids are `id_column`'s, else new ones. `batch` (a
+        stream's name and number) is committed with the rows, and a number that is not new adds none."""
         change = self.begin()
+        if not change.first_time(batch):
+            return
         plain = normalised(df)
         if id_column is None:
             plain = change.numbered(plain)
@@ -114,9 +117,11 @@ class LoomStore:
         change.append_nodes(label, plain.withColumns({"_labels": F.array(F.lit(label)), "_created_at": now, "_updated_at": now, "_ver": F.lit(0).cast("long")}), [label])
         change.commit()
 
-    def load_edges(self, type: str, df: DataFrame, src_kind: str, dst_kind: str, now_ms: int = 0) -> None:
-        """Append a table (`_src`, `_dst`, properties) as edges of a type."""
+    def load_edges(self, type: str, df: DataFrame, src_kind: str, dst_kind: str, now_ms: int = 0, batch: tuple[str, int] | None = None) -> None:
+        """Append a table (`_src`, `_dst`, properties) as edges of a type; `batch` as for nodes."""
         change = self.begin()
+        if not change.first_time(batch):
+            return
         plain = change.numbered(normalised(df))
         now = F.timestamp_millis(F.lit(now_ms).cast("long"))
         more = {"_src_kind": F.lit(src_kind), "_dst_kind": F.lit(dst_kind), "_created_at": now, "_updated_at": now}
@@ -175,6 +180,16 @@ class Change:
 
     # -- writing
 
+    def first_time(self, batch: tuple[str, int] | None) -> bool:
+        """Note a stream's batch; False if it, or a later one, is in already."""
+        if batch is None:
+            return True
+        seen = self.manifest.setdefault("batches", {})
+        if seen.get(batch[0], -1) >= batch[1]:
+            return False
+        seen[batch[0]] = batch[1]
+        return True
+
     def folder(self) -> str:
         return f"data/{uuid.uuid4().hex}"
 

@@ -8,15 +8,29 @@ from pyspark.sql import functions as F
 from .graph import ENTITY, Graph
 
 
+#: The tables' columns. Given to the reader, so that no job is spent on finding them out.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": """l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double,
+        l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz""",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def table_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Customers, orders, parts and so on as nodes, their keys as edges, users with the
     history of their events as versions, regions as subgraphs of nations, sales as hyperedges.
     Nothing is read until a query runs, and then only the columns it uses."""
-    t = {n: read(spark, sf_dir, n) for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")}
+    t = {n: read(spark, sf_dir, n) for n in SCHEMAS}
     items = t["lineitem"]
     # order and line number repeat in this table, so an item's id is a hash of the whole row
     line = F.xxhash64(*items.columns)

@@ -12,23 +12,17 @@ from ..sources.store import LoomStore
 def changes_into(store: LoomStore, stream: DataFrame, label: str | None = None, type: str | None = None, id_column: str | None = None, src_kind: str = "", dst_kind: str = "") -> DataStreamWriter:
     """A writer that appends each micro-batch as nodes of `label`, or as edges of `type`.
 
-    The last batch's number is kept in the manifest, so a batch that is delivered again
+    The last batch's number is committed with its rows, so a batch that is delivered again
     after a failure is not appended twice. Set a checkpointLocation and start it."""
     if (label is None) == (type is None):
         raise ValueError("either a label or a type")
     stream_id = f"{label or type}"
 
     def batch(df: DataFrame, number: int) -> None:
-        _, manifest = store.manifest()
-        if manifest.get("batches", {}).get(stream_id, -1) >= number:
-            return
         if label is not None:
-            store.load_nodes(label, df, id_column)
+            store.load_nodes(label, df, id_column, batch=(stream_id, number))
         else:
-            store.load_edges(type, df, src_kind, dst_kind)
-        change = store.begin()
-        change.manifest.setdefault("batches", {})[stream_id] = number
-        change.commit()
+            store.load_edges(type, df, src_kind, dst_kind, batch=(stream_id, number))
 
     return stream.writeStream.foreachBatch(batch)
 
