@@ -93,6 +93,11 @@ class LoomStore:
         number, manifest = self.manifest()
         return Change(self, number, manifest)
 
+    def graph_at(self, number: int) -> Graph:
+        """The graph as commit `number` left it; 0 is the empty one."""
+        number, manifest = self.manifest(number)
+        return Change(self, number, manifest).graph()
+
     def session(self, **options):
         from ..plans.writer import StoreSession
 
