@@ -14,9 +14,8 @@ from loomgraph.llm.common import cut, table
 
 #: Score under which the quality stage rejects a document.
 QUALITY = 0.7
-#: Words of a shingle, and bits in which near copies' fingerprints differ at most: a
-#: similarity of 0.8 of two shingle sets is an angle of about 9 of 64 bits.
-SHINGLE, BITS, SEGMENTS = 5, 9, 4
+#: Near copies: words of a shingle, and similarity of the sets of shingles at least.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
-    found = cut(simhash.near_duplicates(docs, SHINGLE, BITS, SEGMENTS), "near-duplicates")
+    found = cut(simhash.similar_documents(docs, SHINGLE, similarity=SIMILARITY), "near-duplicates")
     return simhash.keep_first(docs, found)
 
 

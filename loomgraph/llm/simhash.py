@@ -17,7 +17,7 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, map_text, text_or_empty
@@ -91,9 +91,11 @@ def ball_masks(max_bits: int, segments: int) -> list[tuple[int, np.ndarray]]:
 
 
 def table_rows(fps: DataFrame, max_bits: int, segments: int) -> DataFrame:
-    """key, fp, own of each table entry (own) and of each look-up, for distinct `fps`."""
+    """key, fp, own of each table entry (own) and of each look-up, for distinct `fps`; a column
+    `mark` (long) of theirs is taken along."""
     plan, cuts = ball_masks(max_bits, segments), segments_of(segments)
-    schema = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("own", pa.bool_())])
+    marked = "mark" in fps.columns
+    schema = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("own", pa.bool_()), *[("mark", pa.int64())] * marked])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,11 +108,14 @@ def table_rows(fps: DataFrame, max_bits: int, segments: int) -> DataFrame:
                     value = ((fp[:, None] ^ masks[None, :]) >> np.uint64(low)) & np.uint64((1 << width) - 1)
                     row, col = np.nonzero(flips)
                     key = (value[row, col] * np.uint64(64) + np.uint64(i)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row].view(np.int64)), pa.array(col == 0)], schema=schema)
+                    columns = [pa.array(key), pa.array(fp[row].view(np.int64)), pa.array(col == 0)]
+                    if marked:
+                        columns.append(pa.array(batch.column(1).slice(at, 5000).to_numpy(zero_copy_only=False)[row]))
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     if segments < 2:
         raise ValueError("at least two segments")
-    return fps.select("fp").mapInArrow(run, "key long, fp long, own boolean")
+    return fps.select("fp", *["mark"] * marked).mapInArrow(run, "key long, fp long, own boolean" + ", mark long" * marked)
 
 
 def _within(fp: np.ndarray, a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
@@ -185,9 +190,8 @@ def _ramp(sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
 
 
-def link_groups(rows: DataFrame, max_bits: int) -> DataFrame:
-    """src, dst: links that connect the same fingerprints as all pairs of each table group would."""
-    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+def _by_group(rows: DataFrame, columns: list[str], schema: pa.Schema, ddl: str, fn) -> DataFrame:
+    """`fn` of the arrays (group number, then `columns`) of whole groups of (key, unit), many at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -195,23 +199,22 @@ def link_groups(rows: DataFrame, max_bits: int) -> DataFrame:
 
         def flush(last: bool) -> pa.RecordBatch | None:
             nonlocal held, count
-            key, unit, fp, own = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, unit, *more = (np.concatenate(x) for x in zip(*held, strict=True))
             end = len(key)
             if not last:  # the last group may go on in the next batch
                 different = np.flatnonzero((key != key[-1]) | (unit != unit[-1]))
                 end = different[-1] + 1 if len(different) else 0
-            held = [[x[end:] for x in (key, unit, fp, own)]]
+            held = [[x[end:] for x in (key, unit, *more)]]
             count = len(key) - end
             if not end:
                 return None
             change = (key[1:end] != key[: end - 1]) | (unit[1:end] != unit[: end - 1])
-            group = np.cumsum(np.r_[0, change])
-            src, dst = link_rows(group, fp[:end], own[:end], max_bits)
-            return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], schema=schema)
+            found = fn(np.cumsum(np.r_[0, change]), *[x[:end] for x in more])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], schema=schema)
 
         limit = ROWS_AT_ONCE
         for batch in batches:
-            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
+            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(2 + len(columns))])
             count += batch.num_rows
             if count >= limit:
                 got = flush(False)
@@ -223,8 +226,58 @@ def link_groups(rows: DataFrame, max_bits: int) -> DataFrame:
             if got is not None:
                 yield got
 
-    dealt = rows.select("key", "unit", "fp", "own").repartition("key", "unit").sortWithinPartitions("key", "unit")
-    return dealt.mapInArrow(run, "src long, dst long")
+    dealt = rows.select("key", "unit", *columns).repartition("key", "unit").sortWithinPartitions("key", "unit")
+    return dealt.mapInArrow(run, ddl)
+
+
+def link_groups(rows: DataFrame, max_bits: int) -> DataFrame:
+    """src, dst: links that connect the same fingerprints as all pairs of each table group would."""
+    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+    return _by_group(rows, ["fp", "own"], schema, "src long, dst long", lambda group, fp, own: link_rows(group, fp, own, max_bits))
+
+
+def nearest_rows(group: np.ndarray, fp: np.ndarray, own: np.ndarray, mark: np.ndarray, max_bits: int, keep: int = 2) -> tuple[np.ndarray, ...]:
+    """For each own entry its `keep` nearest rows of another mark in its group, within `max_bits`:
+    the two fingerprints, their marks, and the differing bits."""
+    fp = fp.view(np.uint64)
+    start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    size = np.diff(np.r_[start, len(group)])
+    wanted = (np.add.reduceat(own.astype(np.int64), start) > 0) & (size > 1)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for s, n in zip(start[wanted & (size > 256)], size[wanted & (size > 256)], strict=True):
+        part, marks, owned = fp[s : s + n], mark[s : s + n], np.flatnonzero(own[s : s + n])
+        step = max(1, (1 << 22) // n)
+        for at in range(0, len(owned), step):
+            rows = owned[at : at + step]
+            bits = np.bitwise_count(part[rows][:, None] ^ part[None, :])
+            bits[marks[rows][:, None] == marks[None, :]] = 255
+            for _ in range(keep):
+                best = bits.argmin(axis=1)
+                least = bits[np.arange(len(rows)), best]
+                ok = least <= max_bits
+                found.append((rows[ok] + s, best[ok] + s, least[ok]))
+                bits[np.arange(len(rows)), best] = 255
+    small = wanted & (size <= 256)
+    for part in np.array_split(np.flatnonzero(small), max(1, int((size[small] ** 2).sum() // 4_000_000))):
+        if not len(part):
+            continue
+        member = np.repeat(start[part], size[part]) + _ramp(size[part])
+        first, each = np.repeat(start[part], size[part]), np.repeat(size[part], size[part])
+        mine = own[member]
+        member, first, each = member[mine], first[mine], each[mine]
+        a, b = np.repeat(member, each), np.repeat(first, each) + _ramp(each)
+        bits = np.bitwise_count(fp[a] ^ fp[b])
+        ok = (bits <= max_bits) & (mark[a] != mark[b])
+        a, b, bits = a[ok], b[ok], bits[ok]
+        order = np.lexsort((fp[b], bits, a))
+        a, b, bits = a[order], b[order], bits[order]
+        rank = np.arange(len(a)) - np.searchsorted(a, a, "left")
+        found.append((a[rank < keep], b[rank < keep], bits[rank < keep]))
+    if not found:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none, none, none
+    a, b, bits = (np.concatenate([x[i] for x in found]) for i in range(3))
+    return fp[a].view(np.int64), fp[b].view(np.int64), mark[a], mark[b], bits.astype(np.int64)
 
 
 def split_hot(rows: DataFrame, unit: int = UNIT) -> DataFrame:
@@ -239,7 +292,7 @@ def split_hot(rows: DataFrame, unit: int = UNIT) -> DataFrame:
     wide = rows.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     wide = wide.withColumn("block", block).withColumn("other", other)
     return wide.select(
-        "key", "fp", "own",
+        "key", "fp", "own", *[c for c in rows.columns if c == "mark"],
         (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("unit"),
     )
 
@@ -271,6 +324,72 @@ def near_duplicates(
     return marked.join(table, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles, as `fingerprint` takes them."""
+    from xxhash import xxh64_intdigest
+
+    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not words:
+        return np.zeros(0, dtype="<u8")
+    k = min(shingle, len(words))
+    return np.unique(np.array([xxh64_intdigest(b" ".join(words[i : i + k]), 42) for i in range(len(words) - k + 1)], dtype="<u8"))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Likeness of two sorted sets; two empty ones are alike."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared) if len(a) or len(b) else 1.0
+
+
+def similar_documents(
+    docs: DataFrame, shingle: int = 5, max_bits: int = 11, segments: int = 4, similarity: float = 0.8, sure_bits: int = 4
+) -> DataFrame:
+    """doc_id, fp, component_id as `near_duplicates` gives them, for a similarity of shingle sets.
+
+    Fingerprints within `sure_bits` are linked as they are. Farther ones, up to
+    `max_bits`, are only candidates: of each two groups linked so far the two nearest pairs
+    are compared by their whole shingle sets, and those of at least `similarity` join their
+    groups. Only texts of candidates are read again; the rest is as in `near_duplicates`.
+    """
+    marked = cut(fingerprints(docs, shingle), "fingerprints")
+    known = marked.groupBy("fp").agg(F.min("doc_id").alias("doc"))
+    stars = connected_components(link_groups(split_hot(table_rows(known, sure_bits, 3)), sure_bits))
+    stars = stars.select(F.col("node").alias("fp"), "root")
+    named = cut(known.join(stars, "fp", "left").select("fp", "doc", F.coalesce("root", "fp").alias("mark")), "groups")
+
+    schema = pa.schema([(n, pa.int64()) for n in ("a", "b", "ca", "cb", "bits")])
+    rows = split_hot(table_rows(named.select("fp", "mark"), max_bits, segments))
+    ddl = "a long, b long, ca long, cb long, bits long"
+    near = _by_group(rows, ["fp", "own", "mark"], schema, ddl, lambda group, fp, own, mark: nearest_rows(group, fp, own, mark, max_bits))
+    turned = F.col("ca") > F.col("cb")
+    near = near.select(*[F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("ca", "cb"), ("cb", "ca"))], "bits").distinct()
+    rank = F.row_number().over(Window.partitionBy("ca", "cb").orderBy("bits", "a", "b"))
+    pairs = cut(near.withColumn("rank", rank).where("rank <= 2").select("ca", "cb", "a", "b"), "candidates")
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(named, "fp").select("fp", "doc")
+    texts = docs.select("doc_id", text_or_empty().alias("text")).join(wanted.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+
+    def sketched(values: list) -> dict[str, list]:
+        return {"fp": [fingerprint(t, shingle) for t in values], "set": [shingle_set(t, shingle).tobytes() for t in values]}
+
+    sets = map_text(texts, sketched, "fp long, set binary").groupBy("fp").agg(F.first("set").alias("set"))
+    sets = cut(sets, "shingles")
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("set_b")), "b")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(i) for i in (2, 3))
+            ok = [jaccard(np.frombuffer(a[i].as_buffer(), "<u8"), np.frombuffer(b[i].as_buffer(), "<u8")) >= similarity for i in range(batch.num_rows)]
+            yield batch.select([0, 1]).filter(pa.array(ok, type=pa.bool_()))
+
+    links = both.select("ca", "cb", "set_a", "set_b").mapInArrow(compared, "ca long, cb long")
+    merged = connected_components(links.select(F.col("ca").alias("src"), F.col("cb").alias("dst")))
+    top = named.join(merged.select(F.col("node").alias("mark"), "root"), "mark", "left").select("fp", "doc", F.coalesce("root", "mark").alias("top"))
+    least = top.groupBy("top").agg(F.min("doc").alias("component_id"))
+    table = top.join(least, "top").select("fp", "component_id")
+    return marked.join(table, "fp").select("doc_id", "fp", "component_id")
+
+
 def hex_digits(fp: str = "fp") -> F.Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 

@@ -121,12 +121,42 @@ def test_near_duplicates_of_documents(documents):
     assert {k: r["component_id"] for k, r in table(simhash.near_duplicates(documents)).items()} == want
 
 
+def test_similar_documents_are_those_of_exact_sets(spark):
+    """Groups are connected by pairs that are near enough, and no two groups hold a pair of
+    fingerprints in reach whose sets are similar."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(25):
+        base = rng.choices(words, k=150)
+        texts.append(base)
+        for _ in range(6):
+            copy = list(base)
+            for at in rng.sample(range(150), rng.choice([0, 1, 2, 4, 9])):
+                copy[at] = rng.choice(words)
+            texts.append(copy)
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()}
+    fps = np.array([simhash.fingerprint(" ".join(t), 5) for t in texts], dtype=np.int64).view(np.uint64)
+    sets = [simhash.shingle_set(" ".join(t), 5) for t in texts]
+    links = [[(b := int(np.bitwise_count(fps[i] ^ fps[j]))) <= 4 or (b <= 11 and simhash.jaccard(sets[i], sets[j]) >= 0.8) for j in range(len(texts))] for i in range(len(texts))]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if links[i][j] and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert found == dict(enumerate(root)) and len(set(root)) < 100
+
+
 def test_near_duplicates_of_awkward_rows(awkward, empty):
     rows = [(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(awkward).collect()]
     assert len(rows) == len(AWKWARD)
     known = dict(rows)
     assert known[6] == 1 and known[5] == 4 and known[2] == known[3] == known[7] == 2
     assert simhash.near_duplicates(empty).count() == 0
+    again = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(awkward).collect()}
+    assert again[6] == 1 and again[5] == 4 and simhash.similar_documents(empty).count() == 0
     kept = simhash.keep_first(awkward, simhash.near_duplicates(awkward))
     assert sorted((r["doc_id"] is not None, r["doc_id"]) for r in kept.collect() if r["doc_id"] is not None) == [(True, d) for d in sorted({known[d] for d in known if d is not None})]
     assert kept.columns == awkward.columns
@@ -440,8 +470,8 @@ def test_pipeline_stages(spark, documents):
     good = labels[labels.quality == 1].index
     assert len(ids & set(good)) > 0.9 * len(good) and len(ids & set(labels[labels.quality == 0].index)) <= 2
     rows = documents.select("doc_id", "text").toPandas()
-    want = set(brute_components(list(rows.doc_id), [simhash.fingerprint(t, p.SHINGLE) for t in rows.text], p.BITS).values())
-    assert {r["doc_id"] for r in p.near_duplicates(spark, documents, SF).collect()} == want
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(documents, p.SHINGLE, similarity=p.SIMILARITY).collect()}
+    assert {r["doc_id"] for r in p.near_duplicates(spark, documents, SF).collect()} == set(found.values())
     bench = [spaced.words_of(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     clean = {r["doc_id"] for r in p.decontamination(spark, documents, SF).collect()}
     dirty = {d for d, t in zip(rows.doc_id, rows.text, strict=True) if any(" ".join(b) in " ".join(spaced.words_of(t)) for b in bench)}
