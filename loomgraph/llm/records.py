@@ -21,11 +21,13 @@ offset and length of each frame.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,8 +48,6 @@ def masked(data: bytes) -> int:
 
 def frame(doc_id: int | None, ids: bytes) -> bytes:
     """The frame (without its line feed) of ids given as little-endian 32-bit integers."""
-    import numpy as np
-
     numbers = np.frombuffer(ids, dtype="<u4")
     narrow = len(numbers) == 0 or int(numbers.max()) < 1 << 16
     body = numbers.astype("<u2").tobytes() if narrow else ids
@@ -74,14 +74,58 @@ def frames(data: bytes, verify: bool = True) -> Iterator[tuple[int, int, int | N
 class Encoder:
     """Ids of whole texts by the tokenizers library, as little-endian 32-bit integers.
 
-    White space only separates words in the tokenizer's file, so the library is asked
-    once for each piece between ASCII white space, and a bounded memo holds the rest."""
+    White space only separates words in the tokenizer's file, letters and signs are
+    separate words, and case doesn't count. So the library is asked once for each word
+    of Latin letters and for each other piece between ASCII white space; bounded memos
+    hold the rest."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.memo: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        # letters that normalisation leaves alone and that have one lower-case letter, and a sign at the end
+        self.ends = np.zeros(self.library.get_vocab_size(), dtype=bool)
+        for token, i in self.library.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        self.plain = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+)([.,;:!?]?)").fullmatch
+
+    def _ask(self, words: list[str], apart: bool) -> None:
+        """Ids of words, or (`apart`) of pieces that may be of several words or none. Words go to
+        the library many in one text; where each ends, its ids show."""
+        size = 1 if apart else 256
+        texts = [words[at : at + size] for at in range(0, len(words), size)]
+        for at in range(0, len(texts), 1024):
+            got = self.library.encode_batch_fast([" ".join(t) for t in texts[at : at + 1024]], add_special_tokens=False)
+            for part, e in zip(texts[at : at + 1024], got, strict=True):
+                ids = np.array(e.ids, dtype="<u4")
+                if apart:
+                    self.words[part[0]] = ids.tobytes()
+                    continue
+                data, ends = ids.tobytes(), (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+                self.words.update((w, data[a:b]) for w, a, b in zip(part, [0, *ends], ends, strict=False))
+                if len(ends) != len(part):
+                    raise ValueError("a word without an end")
+
+    def _learn(self, pieces: set[bytes]) -> None:
+        parts, one, other = {}, set(), set()
+        for piece in pieces:
+            text = piece.decode("utf-8", "surrogatepass")
+            m = self.plain(text)
+            if m:
+                word, stop = m[1].lower(), m[2]
+                parts[piece] = (word, stop) if stop else (word,)
+                one.update(parts[piece])
+            else:
+                parts[piece] = (text,)
+                other.add(text)
+        if len(self.words) > MEMO_PIECES:
+            self.words.clear()
+        words = self.words
+        self._ask([w for w in one if w not in words], False)
+        self._ask([w for w in other if w not in words], True)
+        self.memo.update((p, b"".join(map(words.__getitem__, ws))) for p, ws in parts.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         import os
@@ -91,12 +135,9 @@ class Encoder:
             self.memo.clear()
         memo = self.memo
         split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        new = list({p for pieces in split for p in pieces if p not in memo})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            got = self.library.encode_batch_fast([p.decode("utf-8", "surrogatepass") for p in part], add_special_tokens=False)
-            for p, e in zip(part, got, strict=True):
-                memo[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        new = {p for pieces in split for p in pieces if p not in memo}
+        if new:
+            self._learn(new)
         return [b"".join(map(memo.__getitem__, pieces)) for pieces in split]
 
 
@@ -175,8 +216,6 @@ def index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _wide(body, width: int) -> bytes:
-    import numpy as np
-
     return bytes(body) if width == 4 else np.frombuffer(body, dtype="<u2").astype("<u4").tobytes()
 
 
