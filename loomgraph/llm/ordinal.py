@@ -90,10 +90,19 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, dimensions: int = DIMENSIONS,
     start = np.maximum.accumulate(start + 1e-3 * np.arange(grades - 1))
     if n == 0 or grade.max(initial=0) == 0 or grade.min() > 0:
         return Model(np.zeros(dimensions), start)
-    used, flat = np.unique(np.concatenate(rows), return_inverse=True)
-    sizes, flat = np.array([len(x) for x in rows]), flat.astype(np.int32)
-    of_row = np.repeat(np.arange(n, dtype=np.int32), sizes)
-    often = np.bincount(flat, minlength=len(used)) / n
+    seen = np.zeros(dimensions, dtype=np.int64)
+    for row in rows:
+        seen[row] += 1
+    used = np.flatnonzero(seen)
+    number = np.zeros(dimensions, dtype=np.int32)
+    number[used] = np.arange(len(used), dtype=np.int32)
+    sizes = np.array([len(r) for r in rows])
+    often = seen[used] / n
+    # features of a few hundred rows at a time, so that no array is as long as all of them in 64 bits
+    blocks = []
+    for at in range(0, n, 400):
+        part = rows[at : at + 400]
+        blocks.append((slice(at, at + len(part)), number[np.concatenate(part)], sizes[at : at + len(part)]))
     w, gaps = np.zeros(len(used)), np.r_[start[0], np.log(np.maximum(np.diff(start), 1e-3))]
     level = np.arange(grades)
 
@@ -104,7 +113,7 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, dimensions: int = DIMENSIONS,
     second_w, second_g = np.zeros_like(w), np.zeros_like(gaps)
     for t in range(1, rounds + 1):
         th = thresholds(gaps)
-        z = np.bincount(of_row, weights=w[flat], minlength=n)
+        z = np.concatenate([np.bincount(np.repeat(np.arange(len(k)), k), weights=w[flat], minlength=len(k)) for _, flat, k in blocks])
         below = 1 / (1 + np.exp(-np.clip(th[None, :] - z[:, None], -30, 30)))  # P(grade <= k)
         cdf = np.c_[np.zeros(n), below, np.ones(n)]
         at = np.arange(n)
@@ -112,7 +121,10 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, dimensions: int = DIMENSIONS,
         slope = np.c_[np.zeros(n), below * (1 - below), np.zeros(n)]
         up, down = slope[at, grade + 1], slope[at, grade]
         dz = (up - down) / p  # of the negative log-likelihood
-        gw = np.bincount(flat, weights=dz[of_row], minlength=len(used)) / n
+        gw = np.zeros(len(used))
+        for where, flat, k in blocks:
+            gw += np.bincount(flat, weights=np.repeat(dz[where], k), minlength=len(used))
+        gw /= n
         hit = (grade[:, None] == level[None, :]).astype(float)
         dth = np.array([(-(up / p) * hit[:, k] + (down / p) * hit[:, k + 1]).sum() for k in range(grades - 1)]) / n
         gg = np.r_[dth.sum(), [np.exp(gaps[j]) * dth[j:].sum() for j in range(1, grades - 1)]]
