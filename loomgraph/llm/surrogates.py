@@ -40,6 +40,10 @@ PATTERNS = (
     ("name", rf"(?<!\p{{L}})(?:{_ALL_TITLES})\.? \p{{Lu}}\p{{L}}+(?:[ \-]\p{{Lu}}\p{{L}}+)?"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
+_FIRST = "".join(sorted({t[0] for t in _ALL_TITLES.split("|")}))
+#: What every match of a pattern contains: a digit, @, = or :, a key's prefix and letters, or a
+#: title before a capital. Texts without it need no search.
+GATE = rf"[0-9@=:]|A[KS]IA[A-Z]{{16}}|(?=[{_FIRST}])(?:{_ALL_TITLES})\.? \p{{Lu}}"
 
 #: Given names for surrogates by gender and script, and the syllables of family names.
 _GIVEN = {
@@ -186,7 +190,9 @@ def rendered(kind: F.Column, m: F.Column, stand_in: F.Column) -> F.Column:
 
 
 def matches(text: F.Column) -> F.Column:
-    return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    """All entities of a text in their order; the search runs only where the gate is met."""
+    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    return F.when(text.rlike(GATE), found).otherwise(F.array().cast("array<string>"))
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
