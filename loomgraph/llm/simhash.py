@@ -8,16 +8,19 @@ only one enumerates the other (the one with a zero at the lowest bit in which th
 differ), which halves the ball without losing a pair.
 
 What leaves a table group is a forest over its linked fingerprints, not all pairs.
+
+`similar_documents` goes by exact likeness of shingle sets and finds candidates by
+prefixes of the sets, which lose no pair.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_text, text_or_empty
@@ -28,35 +31,50 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 _PLACE = np.arange(8, dtype=np.int64) * 256
 #: Shingles counted at once, rows linked at once, members of a table group in one unit of work.
 SHINGLES_AT_ONCE, ROWS_AT_ONCE, UNIT = 1 << 16, 200_000, 30_000
+#: Longs of parities of a set, documents looked at for common shingles, and how many of these are sent out.
+WORDS, SAMPLE, MOST_COMMON = 4, 4_000, 100_000
+#: Rows of a group whose pairs are compared one by one, and size of a block of sets compared with each other.
+FEW, LEAST_BLOCK, MOST_BLOCK, BLOCK_ELEMENTS = 16, 110, 5_000, 5_000_000
 
 
-def fingerprint(text: str, shingle: int = 4) -> int:
-    """64-bit SimHash of the word shingles of `text`, as a signed integer.
+def shingle_hashes(text: str, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's word shingles in their order, a bounded number at a time.
 
-    A-Z are lower-cased, words are runs of what isn't ASCII white space, repeats
-    count. Fewer words than `shingle`: the whole sequence; no words: zero.
+    A-Z are lower-cased, words are runs of what isn't ASCII white space. Fewer words
+    than `shingle`: the whole sequence; no words: nothing.
     """
     from xxhash import xxh64_intdigest
 
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = list(accumulate(map(len, words)))
     k = min(shingle, len(words))
     n = len(words) - k + 1
     stops = [e + i for i, e in enumerate(ends)]
     starts = [0, *[e + 1 for e in stops[: n - 1]]]
-    counts = np.zeros((8, 8), dtype=np.int64)
     for at in range(0, n, SHINGLES_AT_ONCE):
         to = min(n, at + SHINGLES_AT_ONCE)
-        h = np.array(
+        yield np.array(
             [xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts[at:to], stops[at + k - 1 : to + k - 1], strict=True)],
             dtype="<u8",
         )
+
+
+def _folded(parts: Iterable[np.ndarray]) -> int:
+    counts, n = np.zeros((8, 8), dtype=np.int64), 0
+    for h in parts:
         seen = np.bincount((h.view(np.uint8).reshape(-1, 8) + _PLACE).ravel(), minlength=2048)
         counts += seen.reshape(8, 256) @ _BITS
-    return int(np.packbits((counts * 2 > n).ravel(), bitorder="little").view("<i8")[0])
+        n += len(h)
+    return int(np.packbits((counts * 2 > n).ravel(), bitorder="little").view("<i8")[0]) if n else 0
+
+
+def fingerprint(text: str, shingle: int = 4) -> int:
+    """64-bit SimHash of the word shingles of `text` (repeats count), as a signed integer;
+    zero without words."""
+    return _folded(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -91,11 +109,9 @@ def ball_masks(max_bits: int, segments: int) -> list[tuple[int, np.ndarray]]:
 
 
 def table_rows(fps: DataFrame, max_bits: int, segments: int) -> DataFrame:
-    """key, fp, own of each table entry (own) and of each look-up, for distinct `fps`; a column
-    `mark` (long) of theirs is taken along."""
+    """key, fp, own of each table entry (own) and of each look-up, for distinct `fps`."""
     plan, cuts = ball_masks(max_bits, segments), segments_of(segments)
-    marked = "mark" in fps.columns
-    schema = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("own", pa.bool_()), *[("mark", pa.int64())] * marked])
+    schema = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("own", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,14 +124,11 @@ def table_rows(fps: DataFrame, max_bits: int, segments: int) -> DataFrame:
                     value = ((fp[:, None] ^ masks[None, :]) >> np.uint64(low)) & np.uint64((1 << width) - 1)
                     row, col = np.nonzero(flips)
                     key = (value[row, col] * np.uint64(64) + np.uint64(i)).view(np.int64)
-                    columns = [pa.array(key), pa.array(fp[row].view(np.int64)), pa.array(col == 0)]
-                    if marked:
-                        columns.append(pa.array(batch.column(1).slice(at, 5000).to_numpy(zero_copy_only=False)[row]))
-                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row].view(np.int64)), pa.array(col == 0)], schema=schema)
 
     if segments < 2:
         raise ValueError("at least two segments")
-    return fps.select("fp", *["mark"] * marked).mapInArrow(run, "key long, fp long, own boolean" + ", mark long" * marked)
+    return fps.select("fp").mapInArrow(run, "key long, fp long, own boolean")
 
 
 def _within(fp: np.ndarray, a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
@@ -166,7 +179,12 @@ def link_rows(group: np.ndarray, fp: np.ndarray, own: np.ndarray, max_bits: int)
     if not links:
         return fp[:0].view(np.int64), fp[:0].view(np.int64)
     a, b = np.concatenate([x for x, _ in links]), np.concatenate([y for _, y in links])
-    named, back = np.unique(np.r_[fp[a], fp[b]].view(np.int64), return_inverse=True)
+    return _forest(fp[a].view(np.int64), fp[b].view(np.int64))
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each node but the smallest of its component to that one."""
+    named, back = np.unique(np.r_[a, b], return_inverse=True)
     x, y = back[: len(a)], back[len(a) :]
     root = np.arange(len(named))
     while True:
@@ -236,50 +254,6 @@ def link_groups(rows: DataFrame, max_bits: int) -> DataFrame:
     return _by_group(rows, ["fp", "own"], schema, "src long, dst long", lambda group, fp, own: link_rows(group, fp, own, max_bits))
 
 
-def nearest_rows(group: np.ndarray, fp: np.ndarray, own: np.ndarray, mark: np.ndarray, max_bits: int, keep: int = 2) -> tuple[np.ndarray, ...]:
-    """For each own entry its `keep` nearest rows of another mark in its group, within `max_bits`:
-    the two fingerprints, their marks, and the differing bits."""
-    fp = fp.view(np.uint64)
-    start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    size = np.diff(np.r_[start, len(group)])
-    wanted = (np.add.reduceat(own.astype(np.int64), start) > 0) & (size > 1)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for s, n in zip(start[wanted & (size > 256)], size[wanted & (size > 256)], strict=True):
-        part, marks, owned = fp[s : s + n], mark[s : s + n], np.flatnonzero(own[s : s + n])
-        step = max(1, (1 << 22) // n)
-        for at in range(0, len(owned), step):
-            rows = owned[at : at + step]
-            bits = np.bitwise_count(part[rows][:, None] ^ part[None, :])
-            bits[marks[rows][:, None] == marks[None, :]] = 255
-            for _ in range(keep):
-                best = bits.argmin(axis=1)
-                least = bits[np.arange(len(rows)), best]
-                ok = least <= max_bits
-                found.append((rows[ok] + s, best[ok] + s, least[ok]))
-                bits[np.arange(len(rows)), best] = 255
-    small = wanted & (size <= 256)
-    for part in np.array_split(np.flatnonzero(small), max(1, int((size[small] ** 2).sum() // 4_000_000))):
-        if not len(part):
-            continue
-        member = np.repeat(start[part], size[part]) + _ramp(size[part])
-        first, each = np.repeat(start[part], size[part]), np.repeat(size[part], size[part])
-        mine = own[member]
-        member, first, each = member[mine], first[mine], each[mine]
-        a, b = np.repeat(member, each), np.repeat(first, each) + _ramp(each)
-        bits = np.bitwise_count(fp[a] ^ fp[b])
-        ok = (bits <= max_bits) & (mark[a] != mark[b])
-        a, b, bits = a[ok], b[ok], bits[ok]
-        order = np.lexsort((fp[b], bits, a))
-        a, b, bits = a[order], b[order], bits[order]
-        rank = np.arange(len(a)) - np.searchsorted(a, a, "left")
-        found.append((a[rank < keep], b[rank < keep], bits[rank < keep]))
-    if not found:
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none, none
-    a, b, bits = (np.concatenate([x[i] for x in found]) for i in range(3))
-    return fp[a].view(np.int64), fp[b].view(np.int64), mark[a], mark[b], bits.astype(np.int64)
-
-
 def split_hot(rows: DataFrame, unit: int = UNIT) -> DataFrame:
     """Adds `unit`: a group of over `unit` entries is cut into blocks, and every pair of
     blocks is a unit of work of its own, so no task holds a whole hot group."""
@@ -292,7 +266,7 @@ def split_hot(rows: DataFrame, unit: int = UNIT) -> DataFrame:
     wide = rows.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     wide = wide.withColumn("block", block).withColumn("other", other)
     return wide.select(
-        "key", "fp", "own", *[c for c in rows.columns if c == "mark"],
+        "key", "fp", "own", *[c for c in rows.columns if c not in ("key", "fp", "own")],
         (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("unit"),
     )
 
@@ -326,13 +300,11 @@ def near_duplicates(
 
 def shingle_set(text: str, shingle: int) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles, as `fingerprint` takes them."""
-    from xxhash import xxh64_intdigest
+    return _distinct(shingle_hashes(text, shingle))
 
-    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, dtype="<u8")
-    k = min(shingle, len(words))
-    return np.unique(np.array([xxh64_intdigest(b" ".join(words[i : i + k]), 42) for i in range(len(words) - k + 1)], dtype="<u8"))
+
+def _distinct(parts: Iterable[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, dtype="<u8"), *parts]))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -341,40 +313,170 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(a) + len(b) - shared) if len(a) or len(b) else 1.0
 
 
-def similar_documents(
-    docs: DataFrame, shingle: int = 5, max_bits: int = 11, segments: int = 4, similarity: float = 0.8, sure_bits: int = 4
-) -> DataFrame:
+def set_id(shingles: np.ndarray) -> int:
+    """What equal sets share, as a signed integer."""
+    from xxhash import xxh64_intdigest
+
+    return int(np.uint64(xxh64_intdigest(shingles.tobytes(), 7)).view(np.int64))
+
+
+def _least_shared(n: int, similarity: float) -> int:
+    """Elements that a set of n has in common with any set of that similarity, at least."""
+    return max(1, int(np.ceil(similarity * n - 1e-9)))
+
+
+def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+    """The first elements of a set in an order that all sets share: two sets of at least
+    `similarity` have one of them in common, whatever the order. `common` (sorted) comes last."""
+    n = len(shingles) - _least_shared(len(shingles), similarity) + 1
+    if not len(shingles):
+        return shingles
+    late = common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles if len(common) else np.zeros(len(shingles), dtype=bool)
+    return np.r_[shingles[~late], shingles[late]][:n]
+
+
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """64 * WORDS parities of the elements' numbers: two sets differ in at least as many elements as their parities."""
+    odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (64 * WORDS - 1), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _possible(n: np.ndarray, sign: np.ndarray, a, b, similarity: float) -> np.ndarray:
+    """False only for pairs whose sizes or parities rule the similarity out."""
+    na, nb = n[a], n[b]
+    differ = np.bitwise_count(sign[a] ^ sign[b]).sum(axis=-1, dtype=np.int64)
+    return (np.minimum(na, nb) >= similarity * np.maximum(na, nb) - 1e-9) & (differ <= (na + nb) * (1 - similarity) / (1 + similarity) + 1e-9)
+
+
+def candidate_rows(group: np.ndarray, fp: np.ndarray, n: np.ndarray, *sign: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
+    """src, dst, many: every possible pair of a small group; of a group of over FEW rows links
+    (many) that connect what its possible pairs connect."""
+    sign = np.stack(sign, axis=1).view(np.uint64)
+    start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    size = np.diff(np.r_[start, len(group)])
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    links: list[tuple[np.ndarray, np.ndarray]] = []
+    for s, m in zip(start[size > FEW], size[size > FEW], strict=True):
+        every = np.arange(s, s + m)
+        pivot = every[np.argsort(n[every])[m // 2]]
+        near = _possible(n, sign, pivot, every, similarity)
+        links.append((np.full(near.sum(), pivot), every[near]))
+        far, step = every[~near], max(1, (1 << 18) // m)
+        for at in range(0, len(far), step):
+            rows = far[at : at + step]
+            r, c = np.nonzero(_possible(n, sign, rows[:, None], every[None, :], similarity))
+            links.append(_forest(rows[r], every[c]))
+    member = np.flatnonzero(np.repeat((size > 1) & (size <= FEW), size))
+    end = np.repeat(start + size, size)
+    each = end[member] - member - 1
+    for part in np.array_split(np.arange(len(member)), max(1, int(each.sum() // 500_000))):
+        a = np.repeat(member[part], each[part])
+        b = a + 1 + _ramp(each[part])
+        ok = _possible(n, sign, a, b, similarity)
+        pairs.append((fp[np.minimum(a[ok], b[ok])], fp[np.maximum(a[ok], b[ok])]))
+    x, y = (np.concatenate([np.zeros(0, dtype=np.int64), *[p[i] for p in pairs]]) for i in range(2))
+    u, v = (np.concatenate([np.zeros(0, dtype=np.int64), *[fp[q[i]] for q in links]]) for i in range(2))
+    u, v = _forest(u, v)
+    return np.r_[np.minimum(x, y), u], np.r_[np.maximum(x, y), v], np.r_[np.zeros(len(x), dtype=bool), np.ones(len(u), dtype=bool)]
+
+
+def similar_sets(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """src, dst: links that connect what all pairs of at least `similarity` connect. A set's
+    shared elements with all others are counted at once; only pairs within the largest
+    component need no count."""
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, code, times = np.unique(np.concatenate([np.zeros(0, dtype="<u8"), *sets]), return_inverse=True, return_counts=True)
+    posted, first = owner[np.argsort(code, kind="stable")], np.r_[0, np.cumsum(times)]
+    begin = np.r_[0, np.cumsum(size)]
+    weight = np.bincount(owner, weights=times[code], minlength=len(sets))
+    order = np.argsort(-weight, kind="stable")
+    root, src, dst = np.arange(len(sets)), [], []
+    count = np.ones(len(sets), dtype=np.int64)
+    done = np.zeros(len(sets), dtype=bool)
+    while len(todo := order[~done[order] & (root[order] != count.argmax())]):
+        i = todo[0]
+        done[i] = True
+        mine = code[begin[i] : begin[i + 1]]
+        hits = posted[np.repeat(first[mine], times[mine]) + _ramp(times[mine])]
+        shared = np.bincount(hits, minlength=len(sets))
+        for j in np.flatnonzero(shared / np.maximum(size + size[i] - shared, 1) >= similarity):
+            low, high = sorted((root[i], root[j]))
+            if low != high:
+                src.append(ids[i])
+                dst.append(ids[j])
+                root[root == high] = low
+                count[low] += count[high]
+                count[high] = 0
+    return np.array(src, dtype=np.int64), np.array(dst, dtype=np.int64)
+
+
+def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Sorted shingles of at least three of some thousand documents, the commonest of them. They
+    only set an order, so that few documents meet at what many have."""
+    share = max(1, docs.count() // SAMPLE)
+    some = docs.where(F.pmod(F.xxhash64(*[c for c in docs.columns if c != "text"]), F.lit(share)) == 0)
+    schema = pa.schema([("h", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, shingle).view("<i8"))], schema=schema)
+
+    often = some.select("text").mapInArrow(run, "h long").groupBy("h").count().where("count > 2")
+    got = [r["h"] for r in often.orderBy(F.desc("count"), "h").limit(MOST_COMMON).collect()]
+    return np.sort(np.array(got, dtype=np.int64).view(np.uint64))
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, fp, component_id as `near_duplicates` gives them, for a similarity of shingle sets.
 
-    Fingerprints within `sure_bits` are linked as they are. Farther ones, up to
-    `max_bits`, are only candidates: of each two groups linked so far the two nearest pairs
-    are compared by their whole shingle sets, and those of at least `similarity` join their
-    groups. Only texts of candidates are read again; the rest is as in `near_duplicates`.
+    Components are those of all pairs of documents whose sets of shingles have at least
+    `similarity`: every such pair shares an element of the two sets' prefixes (`prefix`), so
+    documents are grouped by these. Of a small group all pairs are compared that sizes and
+    parities leave possible; what large groups connect is compared whole, set against set,
+    in blocks. fp is the fingerprint, which decides nothing here. Null ids, null texts and
+    repeated rows are as in `near_duplicates`; only texts of candidates are read again.
     """
-    marked = cut(fingerprints(docs, shingle), "fingerprints")
-    known = marked.groupBy("fp").agg(F.min("doc_id").alias("doc"))
-    stars = connected_components(link_groups(split_hot(table_rows(known, sure_bits, 3)), sure_bits))
-    stars = stars.select(F.col("node").alias("fp"), "root")
-    named = cut(known.join(stars, "fp", "left").select("fp", "doc", F.coalesce("root", "fp").alias("mark")), "groups")
-
-    schema = pa.schema([(n, pa.int64()) for n in ("a", "b", "ca", "cb", "bits")])
-    rows = split_hot(table_rows(named.select("fp", "mark"), max_bits, segments))
-    ddl = "a long, b long, ca long, cb long, bits long"
-    near = _by_group(rows, ["fp", "own", "mark"], schema, ddl, lambda group, fp, own, mark: nearest_rows(group, fp, own, mark, max_bits))
-    turned = F.col("ca") > F.col("cb")
-    near = near.select(*[F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("ca", "cb"), ("cb", "ca"))], "bits").distinct()
-    rank = F.row_number().over(Window.partitionBy("ca", "cb").orderBy("bits", "a", "b"))
-    pairs = cut(near.withColumn("rank", rank).where("rank <= 2").select("ca", "cb", "a", "b"), "candidates")
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(named, "fp").select("fp", "doc")
-    texts = docs.select("doc_id", text_or_empty().alias("text")).join(wanted.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    spark = docs.sparkSession
+    source = docs.select("doc_id", text_or_empty().alias("text"))
+    common = spark.sparkContext.broadcast(common_shingles(source, shingle))
+    words = [f"s{i}" for i in range(WORDS)]
+
+    def described(texts: list) -> dict[str, list]:
+        out: dict[str, list] = {c: [] for c in ("fp", "id", "n", *words, "keys")}
+        for text in texts:
+            parts = list(shingle_hashes(text, shingle))
+            own = _distinct(parts)
+            row = (_folded(parts), set_id(own), len(own), *map(int, parities(own)), prefix(own, similarity, common.value).view("<i8"))
+            for c, x in zip(out, row, strict=True):
+                out[c].append(x)
+        return out
+
+    ddl = f"fp long, id long, n int, {', '.join(f'{w} long' for w in words)}, keys array<long>"
+    marked = cut(map_text(source, described, ddl), "shingle-prefixes")
+    known = cut(marked.groupBy("id").agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("n", *words, "keys")]), "distinct-sets")
+    rows = known.select(F.explode("keys").alias("key"), F.col("id").alias("fp"), F.lit(True).alias("own"), "n", *words)
+    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("many", pa.bool_())])
+    found = _by_group(split_hot(rows), ["fp", "n", *words], schema, "src long, dst long, many boolean", lambda *x: candidate_rows(*x, similarity=similarity))
+    found = cut(found.distinct(), "candidates")
+
+    hot = cut(connected_components(found.where("many").select("src", "dst")).select(F.col("node").alias("id"), "root"), "hot-groups")
+    pairs = found.where("not many").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    for side in ("a", "b"):
+        pairs = pairs.join(hot.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+    pairs = cut(pairs.where("root_a IS NULL OR root_b IS NULL OR root_a != root_b").select("a", "b"), "pairs")
+
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(hot.select("id")).distinct(), "wanted")
+    of = known.select("id", "doc").join(wanted, "id", "left_semi").select(F.col("doc").alias("doc_id")).distinct()
+    texts = source.join(of, "doc_id", "left_semi").unionByName(source.where("doc_id IS NULL"))
 
     def sketched(values: list) -> dict[str, list]:
-        return {"fp": [fingerprint(t, shingle) for t in values], "set": [shingle_set(t, shingle).tobytes() for t in values]}
+        sets = [shingle_set(t, shingle) for t in values]
+        return {"id": [set_id(x) for x in sets], "set": [x.tobytes() for x in sets]}
 
-    sets = map_text(texts, sketched, "fp long, set binary").groupBy("fp").agg(F.first("set").alias("set"))
-    sets = cut(sets, "shingles")
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("set_b")), "b")
+    sets = map_text(texts.select("text"), sketched, "id long, set binary").join(wanted, "id", "left_semi")
+    sets = cut(sets.groupBy("id").agg(F.first("set").alias("set")), "shingles")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -382,12 +484,26 @@ def similar_documents(
             ok = [jaccard(np.frombuffer(a[i].as_buffer(), "<u8"), np.frombuffer(b[i].as_buffer(), "<u8")) >= similarity for i in range(batch.num_rows)]
             yield batch.select([0, 1]).filter(pa.array(ok, type=pa.bool_()))
 
-    links = both.select("ca", "cb", "set_a", "set_b").mapInArrow(compared, "ca long, cb long")
-    merged = connected_components(links.select(F.col("ca").alias("src"), F.col("cb").alias("dst")))
-    top = named.join(merged.select(F.col("node").alias("mark"), "root"), "mark", "left").select("fp", "doc", F.coalesce("root", "mark").alias("top"))
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
+    links = both.select(F.col("a").alias("src"), F.col("b").alias("dst"), "set_a", "set_b").mapInArrow(compared, "src long, dst long")
+
+    def within(table: pa.Table) -> pa.Table:
+        each = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("set")]
+        src, dst = similar_sets(table.column("id").to_numpy(), each, similarity)
+        return pa.table({"src": pa.array(src), "dst": pa.array(dst)})
+
+    sized = hot.join(known.select("id", "n"), "id").groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("elements"))
+    a_block = F.least(F.greatest(F.col("rows") / 32, F.lit(LEAST_BLOCK)), F.lit(MOST_BLOCK))
+    blocks = F.greatest(F.ceil(F.col("rows") / a_block), F.ceil(F.col("elements") / BLOCK_ELEMENTS)).cast("int")
+    dealt = hot.join(sized.select("root", blocks.alias("blocks")), "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("id", "root", (F.least("block", "other").cast("long") * F.col("blocks") + F.greatest("block", "other")).alias("unit"))
+    links = links.unionByName(dealt.join(sets, "id").groupBy("root", "unit").applyInArrow(within, "src long, dst long"))
+
+    merged = connected_components(links).select(F.col("node").alias("id"), "root")
+    top = known.select("id", "doc").join(merged, "id", "left").select("id", "doc", F.coalesce("root", "id").alias("top"))
     least = top.groupBy("top").agg(F.min("doc").alias("component_id"))
-    table = top.join(least, "top").select("fp", "component_id")
-    return marked.join(table, "fp").select("doc_id", "fp", "component_id")
+    return marked.select("doc_id", "fp", "id").join(top.join(least, "top").select("id", "component_id"), "id").select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp: str = "fp") -> F.Column:

@@ -149,6 +149,57 @@ def test_similar_documents_are_those_of_exact_sets(spark):
     assert found == dict(enumerate(root)) and len(set(root)) < 100
 
 
+def brute_similar(texts, similarity=0.8):
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and simhash.jaccard(sets[i], sets[j]) >= similarity:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return dict(enumerate(root))
+
+
+def similar(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()}
+
+
+def altered(rng, base, words, n):
+    copy = list(base)
+    for at in rng.sample(range(len(base)), n):
+        copy[at] = rng.choice(words)
+    return " ".join(copy)
+
+
+def test_a_star_of_near_copies_is_whole(spark):
+    """Copies near to their common original, and not to each other, and what shares a passage with them."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    base, passage = rng.choices(words, k=150), " ".join(rng.choices(words, k=60))
+    texts = [altered(rng, base, words, 3) for _ in range(400)] + [" ".join(base)]
+    texts += [" ".join(rng.choices(words, k=40)) + " " + passage for _ in range(40)]
+    want = brute_similar(texts)
+    assert similar(spark, texts) == want and 350 < list(want.values()).count(0) and len(set(want.values())) > 40
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_links_of_sets_are_those_of_all_pairs(seed):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(200)]
+    texts = []
+    for _ in range(12):
+        base = rng.choices(words, k=rng.choice([30, 150]))
+        texts += [altered(rng, base, words, rng.choice([0, 1, 2, 3])) for _ in range(rng.choice([1, 5, 20]))]
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    src, dst = simhash.similar_sets(np.arange(len(sets)), sets, 0.8)
+    want, root = brute_similar(texts), list(range(len(texts)))
+    for i, j in zip(src, dst, strict=True):
+        low, high = sorted((root[i], root[j]))
+        root = [low if r == high else r for r in root]
+    assert dict(enumerate(root)) == want
+
+
 def test_near_duplicates_of_awkward_rows(awkward, empty):
     rows = [(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(awkward).collect()]
     assert len(rows) == len(AWKWARD)
