@@ -183,6 +183,16 @@ def test_a_star_of_near_copies_is_whole(spark):
     assert similar(spark, texts) == want and 350 < list(want.values()).count(0) and len(set(want.values())) > 40
 
 
+def test_a_repeated_line_makes_no_copies(spark):
+    rng = random.Random(14)
+    words = [f"w{i}" for i in range(3000)]
+    line = " ".join(rng.choices(words, k=12))
+    texts = [" ".join(rng.choices(words, k=300)) + f" {line}" * 60 for _ in range(60)]
+    fps = np.array([simhash.fingerprint(t, 5) for t in texts], dtype=np.int64).view(np.uint64)
+    assert (np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4).sum() > len(texts)
+    assert similar(spark, texts) == {k: k for k in range(len(texts))}
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_links_of_sets_are_those_of_all_pairs(seed):
     rng = random.Random(seed)
