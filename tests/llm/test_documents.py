@@ -183,6 +183,17 @@ def test_a_star_of_near_copies_is_whole(spark):
     assert similar(spark, texts) == want and 350 < list(want.values()).count(0) and len(set(want.values())) > 40
 
 
+def test_every_pair_at_the_similarity_is_found(spark):
+    """About as many words replaced as the similarity of 0.8 allows, whatever the fingerprints' distance."""
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(60):
+        base = rng.choices(words, k=rng.choice([40, 100, 200, 600]))
+        texts += [" ".join(base), altered(rng, base, words, max(1, len(base) // 50))]
+    assert similar(spark, texts) == brute_similar(texts)
+
+
 def test_a_repeated_line_makes_no_copies(spark):
     rng = random.Random(14)
     words = [f"w{i}" for i in range(3000)]
