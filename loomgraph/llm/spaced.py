@@ -1,10 +1,11 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A fixed mask picks some positions of a window of words and ignores the others, so a
-hash over the picked ones still matches where an ignored word was replaced. Hashes of
-benchmark windows and of document windows are joined; around each hit both texts are
-aligned at the same offset and extended, and the overlap counts where it is long
-enough and most of its words agree.
+A mask picks some positions of a window of words and ignores the others, so a hash
+over the picked ones still matches where an ignored word was replaced. The masks of an
+item are chosen so that every overlap that counts has a hit (`masks_for`). Hashes of
+benchmark windows and of document windows are joined; at each hit both texts are
+aligned at the same offset, and the overlap counts where it is long enough and most of
+its words agree.
 
 The benchmark is the stated query set. It is taken in blocks of bounded size, each
 held against all documents, so a task never holds more than one block.
@@ -22,9 +23,6 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
-#: Fixed masks over 10 words: 1 is hashed, 0 ignored. Any one word but a window's first or
-#: last may be replaced, and one of them still matches.
-MASKS = ("1101100101", "1010110011", "1101011001")
 #: Words of an overlap at least (or the whole item, if it is shorter), and the share that agrees.
 LEAST_WORDS, AGREE = 13, 0.8
 #: Items of a block of the query set.
@@ -73,77 +71,91 @@ def seed_hashes(h: np.ndarray, mask: str) -> np.ndarray:
     return out * _B
 
 
-def overlap(doc: np.ndarray, item: np.ndarray, offset: int, agree: float = AGREE) -> tuple[int, int, int]:
-    """(words, start in doc, agreeing words) of the best stretch with doc[i + offset] against item[i].
+def masks_for(n: int, least: int = LEAST_WORDS, agree: float = AGREE) -> tuple[str, ...]:
+    """Masks (1 is hashed, 0 ignored) of which one hits every overlap of an item of n words.
 
-    The best stretch has the largest sum of +1 for an agreeing word and
-    -agree / (1 - agree) for another, so its share of agreeing words is at least `agree`.
-    """
+    m replaced words leave m + 1 runs of agreeing ones, the longest with its share at
+    least. Where the shortest such run comes only of runs that are all as short, two of
+    them with a replaced word between are a hit too, and longer runs will do besides."""
+    runs = []
+    for words in range(max(1, min(least, n)), n + 1):
+        m = int((1 - agree) * words + 1e-9)
+        runs.append((-(-(words - m) // (m + 1)), words - m, m + 1))
+    k = min((run for run, _, _ in runs), default=0)
+    if k < 1:
+        return ()
+    tight = [same == k * parts and parts > 1 for run, same, parts in runs if run == k]
+    return ("1" * (k + 1), "1" * k + "0" + "1" * k) if all(tight) else ("1" * k,)
+
+
+def overlap(doc: np.ndarray, item: np.ndarray, offset: int, agree: float = AGREE) -> tuple[int, int, int]:
+    """(words, start in doc, agreeing words) of the longest stretch with doc[i + offset] against
+    item[i] whose share of agreeing words is at least `agree`; the first of equal ones."""
     lo, hi = max(0, -offset), min(len(item), len(doc) - offset)
     if hi <= lo:
         return 0, 0, 0
     same = doc[lo + offset : hi + offset] == item[lo:hi]
-    total = np.r_[0.0, np.cumsum(np.where(same, 1.0, -agree / (1 - agree)))]
+    total = np.r_[0.0, np.cumsum(same - agree)]
     low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    start = int(np.argmin(total[: end + 1]))
+    first = np.searchsorted(-low, -(total + 1e-9), "left")  # the earliest sum that isn't higher
+    end = int(np.argmax(np.arange(len(total)) - first))
+    start = int(first[end])
     return end - start, lo + offset + start, int(same[start:end].sum())
 
 
 class Block:
     """The benchmark items of one block, with their window hashes sorted for look-up."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], masks: tuple[str, ...] = MASKS):
-        self.items, self.masks = items, masks
+    def __init__(self, items: list[tuple[int, np.ndarray]], least: int = LEAST_WORDS, agree: float = AGREE):
+        self.items, self.least, self.agree = items, least, agree
+        by_mask: dict[str, list[int]] = {}
+        for k, (_, h) in enumerate(items):
+            for mask in masks_for(len(h), least, agree):
+                by_mask.setdefault(mask, []).append(k)
         self.tables = []
-        for mask in masks:
-            parts = [(seed_hashes(h, mask), k) for k, (_, h) in enumerate(items)]
-            value = np.concatenate([v for v, _ in parts]) if parts else np.zeros(0, np.uint64)
-            item = np.concatenate([np.full(len(v), k) for v, k in parts]) if parts else np.zeros(0, int)
-            place = np.concatenate([np.arange(len(v)) for v, _ in parts]) if parts else np.zeros(0, int)
+        for mask, ks in by_mask.items():
+            parts = [(seed_hashes(items[k][1], mask), k) for k in ks]
+            value = np.concatenate([v for v, _ in parts])
+            item = np.concatenate([np.full(len(v), k) for v, k in parts])
+            place = np.concatenate([np.arange(len(v)) for v, _ in parts])
             order = np.argsort(value, kind="stable")
             bits = np.zeros(1 << _BITS, dtype=bool)
             bits[(value >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-            self.tables.append((value[order], item[order], place[order], bits))
-        self.short = [(k, h) for k, (_, h) in enumerate(items) if 0 < len(h) < len(masks[0])]
+            self.tables.append((mask, value[order], item[order], place[order], bits))
 
     def hits(self, h: np.ndarray) -> set[tuple[int, int]]:
         """(item, offset of the item's start in the document) of all hash matches."""
         found: set[tuple[int, int]] = set()
-        for mask, (value, item, place, bits) in zip(self.masks, self.tables, strict=True):
+        for mask, value, item, place, bits in self.tables:
             v = seed_hashes(h, mask)
             maybe = np.flatnonzero(bits[(v >> np.uint64(64 - _BITS)).astype(np.int64)])
             low, high = np.searchsorted(value, v[maybe], "left"), np.searchsorted(value, v[maybe], "right")
             for k in np.flatnonzero(high > low):
                 found.update((int(item[j]), int(maybe[k] - place[j])) for j in range(low[k], high[k]))
-        for k, s in self.short:  # items shorter than a mask: all their words in a row
-            for at in np.flatnonzero(h[: max(0, len(h) - len(s) + 1)] == s[0]):
-                if (h[at : at + len(s)] == s).all():
-                    found.add((k, int(at)))
         return found
 
-    def overlaps(self, h: np.ndarray, least: int = LEAST_WORDS, agree: float = AGREE) -> list[tuple[int, int, int, int]]:
+    def overlaps(self, h: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item_id, start, words, agreeing) of each verified overlap, one per item and offset."""
         out = []
         for k, offset in sorted(self.hits(h)):
             item_id, item = self.items[k]
-            words, start, same = overlap(h, item, offset, agree)
-            if words >= min(least, len(item)) and same >= agree * words and words:
+            words, start, same = overlap(h, item, offset, self.agree)
+            if words >= min(self.least, len(item)) and words:
                 out.append((item_id, start, words, same))
         return out
 
 
-def blocks_of(benchmark: DataFrame, block: int = BLOCK) -> Iterator[Block]:
+def blocks_of(benchmark: DataFrame, least: int = LEAST_WORDS, agree: float = AGREE, block: int = BLOCK) -> Iterator[Block]:
     """The query set in blocks of at most `block` items, read one after the other."""
     hasher = Hasher()
     rows: list[tuple[int, np.ndarray]] = []
     for r in benchmark.select("item_id", text_or_empty().alias("text")).toLocalIterator(prefetchPartitions=False):
         rows.append((r["item_id"], hasher.of(words_of(r["text"]))))
         if len(rows) >= block:
-            yield Block(rows)
+            yield Block(rows, least, agree)
             rows = []
     if rows:
-        yield Block(rows)
+        yield Block(rows, least, agree)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_WORDS, agree: float = AGREE, block: int = BLOCK) -> DataFrame:
@@ -165,7 +177,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_WORDS
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     found = None
-    for one in blocks_of(benchmark, block):
+    for one in blocks_of(benchmark, least, agree, block):
         sent = spark.sparkContext.broadcast(one)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -174,7 +186,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_WORDS
                 ids, out = batch.column(0), []
                 for at in range(0, batch.num_rows, 1000):
                     for i, text in enumerate(batch.column(1).slice(at, 1000).to_pylist()):
-                        for x in held.overlaps(hasher.of(words_of(text)), least, agree):
+                        for x in held.overlaps(hasher.of(words_of(text))):
                             out.append((at + i, *x))
                 take = pa.array([x[0] for x in out], type=pa.int64())
                 columns = [ids.take(take).cast(arrow.field(0).type)]
@@ -210,7 +222,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_WORDS, agree
 
     spark, kept = docs.sparkSession, docs
     arrow, at_text = to_arrow_schema(docs.schema), docs.columns.index("text")
-    for one in blocks_of(benchmark, block):
+    for one in blocks_of(benchmark, least, agree, block):
         sent = spark.sparkContext.broadcast(one)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -218,7 +230,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_WORDS, agree
             for batch in batches:
                 for at in range(0, batch.num_rows, 1000):
                     part = batch.slice(at, 1000)
-                    free = [not held.overlaps(hasher.of(words_of(t or "")), least, agree) for t in part.column(at_text).to_pylist()]
+                    free = [not held.overlaps(hasher.of(words_of(t or ""))) for t in part.column(at_text).to_pylist()]
                     yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(part.filter(pa.array(free)).columns, arrow, strict=True)], schema=arrow)
 
         kept = kept.mapInArrow(run, docs.schema)

@@ -1,6 +1,7 @@
 """The document operators against brute force, and over awkward rows."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -480,6 +481,23 @@ def test_overlaps_with_substitutions(spark, awkward, empty):
     assert spaced.contaminated(empty, bench).count() == 0 and spaced.contaminated(frame, bench.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("n", range(1, 21))
+def test_every_overlap_of_the_rule_is_reported(n):
+    """All places of up to four replaced words, in an item of n words, between other words."""
+    item = np.arange(1, n + 1, dtype=np.uint64)
+    block = spaced.Block([(7, item)])
+    for m in range(min(n, 4) + 1):
+        for places in itertools.combinations(range(n), m):
+            same = np.ones(n, dtype=int)
+            same[list(places)] = 0
+            doc = np.r_[np.full(5, 900), np.where(same, item, 901), np.full(5, 902)].astype(np.uint64)
+            total = np.r_[0, np.cumsum(5 * same - 4)]
+            longest = max((j - i for i in range(n) for j in range(i + 1, n + 1) if total[j] >= total[i]), default=0)
+            want = longest if longest >= min(13, n) else None
+            got = [(k, words, agreeing >= 0.8 * words) for k, _, words, agreeing in block.overlaps(doc)]
+            assert got == ([] if want is None else [(7, want, True)]), places
+
+
 # -- personal data
 
 
