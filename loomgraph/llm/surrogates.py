@@ -11,13 +11,16 @@ entities never share a surrogate, and no surrogate equal a real entity.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, scratch_path, text_or_empty
 
-#: Tries before an entity without a free surrogate is an error.
-MOST_TRIES = 40
+#: Tries after which surrogates get longer, by one sign more with each try: of names (whose space
+#: is small), and of other types (which then leave their layout). So every entity finds a free one.
+WIDER_NAME, WIDER = 3, 12
 
 _TITLES = {
     "m": ("Mr", "Herrn", "Herr", "Monsieur", "Señor", "Sr", "Don", "господин", "Господин"),
@@ -29,7 +32,7 @@ _ALL_TITLES = "|".join(sorted({t for ts in _TITLES.values() for t in ts}, key=la
 PATTERNS = (
     ("email", r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*+@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}"),
     ("cloud_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
-    ("secret", r"\b(?:(?i:password|passwd|pwd|token|secret|api[_\-]?key|access[_\-]?key))\s?[=:]\s?[\"']?[A-Za-z0-9_\-+/.]{8,}"),
+    ("secret", r"\b(?:(?i:password|passwd|pwd|token|secret|api[_\-]?key|access[_\-]?key))\s?[=:]\s?[\"']?(?=[_\-+/.]*[A-Za-z0-9])[A-Za-z0-9_\-+/.]{8,}"),
     ("ip", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"),
     ("phone", r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}(?![0-9])"),
     ("phone", r"(?<![0-9A-Za-z])(?:\([0-9]{3}\) ?|[0-9]{3}[.\-])[0-9]{3}[.\-][0-9]{4}(?![0-9])"),
@@ -96,9 +99,9 @@ def _digits(digest: F.Column, n: int = 36) -> F.Column:
     return F.substring(F.concat(*[F.reverse(p) for p in parts]), 1, n)
 
 
-def _pick(names: list[str], digest: F.Column, at: int) -> F.Column:
+def _pick(names: list[str], digest: F.Column, at: int | F.Column) -> F.Column:
     hexes = "0123456789abcdef"
-    place = F.instr(F.lit(hexes), F.substring(digest, at, 1))
+    place = F.instr(F.lit(hexes), F.substring(digest, at if isinstance(at, F.Column) else F.lit(at), F.lit(1)))
     return F.element_at(F.array(*[F.lit(x) for x in names]), place)
 
 
@@ -133,28 +136,33 @@ def _letters_like(plain: F.Column, digest: F.Column) -> F.Column:
 
 def surrogate(kind: F.Column, plain: F.Column, gender: F.Column, attempt: F.Column, key: str) -> F.Column:
     """The plain form of an entity's stand-in at its `attempt`."""
+    extra = F.greatest(attempt - WIDER, F.lit(0))
+    more = F.greatest(attempt - WIDER_NAME, F.lit(0))
     digest = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, plain, attempt.cast("string")), 256)
     host = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("host"), F.substring_index(plain, "@", -1)), 256)
     word = F.translate(digest, "0123456789abcdef", "bcdfghjklmnpqrst")
     vowels = F.translate(F.reverse(digest), "0123456789abcdef", "aeiouaeiouaeioua")
     local = F.concat(*[F.concat(F.substring(word, i, 1), F.substring(vowels, i, 1)) for i in range(1, 6)], _digits(digest, 3))
     host_word = F.translate(host, "0123456789abcdef", "bcdfghjklmnpqrst")
-    mail = F.concat(local, F.lit("@"), F.substring(host_word, 1, 6), F.lit(".example.org"))
-    digits = _digits(digest)
+    mail = F.concat(local, F.substring(word, F.lit(9), extra), F.lit("@"), F.substring(host_word, 1, 6), F.lit(".example.org"))
+    digits = _digits(digest, 54)
     size = F.length(plain)
-    card_body = F.concat(F.substring(plain, 1, 1), F.substring(digits, F.lit(1), size - 2))
-    number = F.substring(digits, F.lit(1), size)
+    tail = F.substring(digits, size + 1, extra)
+    card_body = F.concat(F.substring(plain, 1, 1), F.substring(digits, F.lit(1), size - 2 + extra))
+    number = F.substring(digits, F.lit(1), size + extra)
     # numbers keep a leading country code of 1 and never start an area with 0 or 1
-    phone = F.concat(F.when(size > 10, F.substring(plain, F.lit(1), size - 10)).otherwise(F.lit("")), F.translate(F.substring(digits, 1, 1), "01", "24"), F.substring(digits, F.lit(2), F.least(size, F.lit(10)) - 1))
+    phone = F.concat(F.when(size > 10, F.substring(plain, F.lit(1), size - 10)).otherwise(F.lit("")), F.translate(F.substring(digits, 1, 1), "01", "24"), F.substring(digits, F.lit(2), F.least(size, F.lit(10)) - 1), tail)
     octets = [F.conv(F.substring(digest, i, 4), 16, 10).cast("int") % 254 + 1 for i in (1, 5, 9, 13)]
-    ip = F.concat_ws(".", *octets)
-    cloud = F.concat(F.substring(plain, 1, 4), F.substring(F.translate(digest, "0123456789abcdef", "2345ABCDEFGHIJKL"), 1, 16))
-    iban = F.concat(F.substring(plain, 1, 2), _letters_like(F.substring(plain, F.lit(3), size), digest))
+    ip = F.concat(F.concat_ws(".", *octets), F.when(extra > 0, F.concat(F.lit("."), F.substring(digits, F.lit(1), extra))).otherwise(F.lit("")))
+    cloud = F.concat(F.substring(plain, 1, 4), F.substring(F.translate(digest, "0123456789abcdef", "2345ABCDEFGHIJKL"), F.lit(1), extra + 16))
+    iban = F.concat(F.substring(plain, 1, 2), _letters_like(F.concat(F.substring(plain, F.lit(3), size), F.repeat(F.lit("0"), extra)), digest))
     cyrillic = plain.rlike(r"\p{IsCyrillic}")
     names = []
     for script in ("cyrillic", "latin"):
         given = F.when(gender == "m", _pick(_GIVEN["m", script], digest, 1)).when(gender == "f", _pick(_GIVEN["f", script], digest, 1)).otherwise(_pick(_GIVEN["n", script], digest, 1))
         family = F.concat(*[_pick(_SYLLABLES[script], digest, at) for at in (2, 3, 4, 5)])
+        added = F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda i: _pick(_SYLLABLES[script], digest, i + 6))
+        family = F.concat(family, F.when(more > 0, F.array_join(added, "")).otherwise(F.lit("")))
         both = F.when(plain.rlike("[ -]"), F.concat(given, F.lit(" "), family)).otherwise(F.concat(family, _pick(_SYLLABLES[script], digest, 6)))
         names.append(F.lower(both))
     name = F.when(cyrillic, names[0]).otherwise(names[1])
@@ -164,7 +172,7 @@ def surrogate(kind: F.Column, plain: F.Column, gender: F.Column, attempt: F.Colu
         .when(kind == "phone", phone)
         .when(kind == "ip", ip)
         .when(kind == "cloud_key", cloud)
-        .when(kind == "secret", _letters_like(plain, digest))
+        .when(kind == "secret", _letters_like(F.concat(plain, F.repeat(F.lit("a"), extra)), digest))
         .when(kind == "iban", iban)
         .when(kind == "name", name)
         .otherwise(number)
@@ -179,6 +187,7 @@ def rendered(kind: F.Column, m: F.Column, stand_in: F.Column) -> F.Column:
             lambda c, i: F.when(c.rlike("[0-9]"), F.substring(stand_in, F.length(F.regexp_replace(F.substring(m, F.lit(1), i + 1), "[^0-9]", "")), F.lit(1))).otherwise(c),
         ), "",
     )
+    poured = F.concat(poured, F.substring(stand_in, F.length(F.regexp_replace(m, "[^0-9]", "")) + 1, F.length(stand_in)))
     grouped = F.when(F.contains(m, F.lit(" ")), F.trim(F.regexp_replace(stand_in, "(.{4})", "$1 "))).otherwise(stand_in)
     return (
         F.when(kind == "secret", F.concat(F.regexp_extract(m, _SECRET_LEAD, 1), stand_in))
@@ -197,11 +206,12 @@ def matches(text: F.Column) -> F.Column:
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
     """kind, plain, stand_in of distinct (kind, plain, gender): no two stand-ins of a kind are
-    equal and none is itself an entity. Whoever loses a clash takes its next digest."""
+    equal and none is itself an entity. Whoever loses a clash takes its next digest; these get
+    longer (`surrogate`), so none is left over however full a type is."""
     spark = entities.sparkSession
     waiting = entities.withColumn("attempt", F.lit(0))
     done: DataFrame | None = None
-    for _ in range(MOST_TRIES):
+    for _ in count():
         tried = waiting.withColumn("stand_in", surrogate(F.col("kind"), F.col("plain"), F.col("gender"), F.col("attempt"), key))
         first = F.row_number().over(Window.partitionBy("kind", "stand_in").orderBy("plain"))
         real = entities.select("kind", F.col("plain").alias("stand_in"), F.lit(True).alias("real"))
@@ -219,7 +229,6 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         if lost.isEmpty():
             return done
         waiting = lost.select("kind", "plain", "gender", (F.col("attempt") + 1).alias("attempt"))
-    raise RuntimeError("no free surrogates left")
 
 
 def replace(docs: DataFrame, key: str = "loomgraph", text: str = "text") -> DataFrame:
