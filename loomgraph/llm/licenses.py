@@ -42,10 +42,10 @@ LICENSES = (
     ("apache-1.1", "licen", r"apache (?:software )?license(?: version| v)? 1 1", r"apache 1 1"),
     ("apache-2.0", "licen", r"apache (?:software )?license(?: version| v)? ?2(?: 0)?", r"apache 2 0"),
     ("apache", "licen", r"apache (?:software )?license", r"apache license"),
-    ("mit", "licen", r"mit(?: x11| expat)? licen[cs]e", r"spdx license identifier mit"),
+    ("mit", "licen", r"mit(?: x11| expat)? licen[cs]e", r"mit(?: x11)?"),
     ("mit-0", "no attribution", r"mit no attribution(?: license)?", r"mit 0"),
-    ("x11", "licen", r"x11 licen[cs]e", r"spdx license identifier x11"),
-    ("isc", "licen", r"isc licen[cs]e", r"spdx license identifier isc"),
+    ("x11", "licen", r"x11 licen[cs]e", r"x11"),
+    ("isc", "licen", r"isc licen[cs]e", r"isc"),
     ("bsd-2-clause", "bsd", r"(?:2|two) clause bsd licen[cs]e|bsd (?:2|two) clause(?: licen[cs]e)?|simplified bsd licen[cs]e|freebsd licen[cs]e", r"bsd 2 clause"),
     ("bsd-3-clause", "bsd", r"(?:3|three) clause bsd licen[cs]e|bsd (?:3|three) clause(?: licen[cs]e)?|(?:new|revised|modified) bsd licen[cs]e", r"bsd 3 clause"),
     ("bsd-4-clause", "bsd", r"(?:4|four) clause bsd licen[cs]e|bsd (?:4|four) clause(?: licen[cs]e)?|original bsd licen[cs]e", r"bsd 4 clause"),
@@ -65,9 +65,9 @@ LICENSES = (
     ("artistic-2.0", "artistic license", r"artistic license(?:(?: version| v)? ?2(?: 0)?)?", r"artistic 2 0"),
     ("boost-1.0", "boost software license", r"boost software license(?:(?: version| v)? ?1(?: 0)?)?", r"bsl 1 0"),
     ("busl-1.1", "business source license", r"business source license(?:(?: version| v)? 1 1)?", r"busl 1 1"),
-    ("zlib", "licen", r"zlib(?: libpng)? licen[cs]e", r"spdx license identifier zlib"),
+    ("zlib", "licen", r"zlib(?: libpng)? licen[cs]e", r"zlib"),
     ("libpng", "licen", r"libpng licen[cs]e", r"libpng 2 0"),
-    ("unlicense", "licen", r"the unlicense|unlicense license", r"spdx license identifier unlicense"),
+    ("unlicense", "licen", r"the unlicense|unlicense license", r"unlicense"),
     ("wtfpl", "what the fuck you want to public license", r"do what the fuck you want to public license", r"wtfpl"),
     ("cc0-1.0", "cc0", r"cc0(?: 1 0)?(?: universal)?", r"cc0 1 0"),
     ("cc0-1.0", "creative commons", r"creative commons (?:zero|cc0)(?: 1 0)?(?: universal)?", r"creative commons public domain dedication"),
@@ -100,11 +100,11 @@ LICENSES = (
     ("ms-pl", "microsoft public license", r"microsoft public license", r"ms pl"),
     ("ms-rl", "microsoft reciprocal license", r"microsoft reciprocal license", r"ms rl"),
     ("python-2.0", "python software foundation license", r"python software foundation license(?:(?: version| v)? ?2(?: 0)?)?", r"psf 2 0"),
-    ("ruby", "licen", r"ruby licen[cs]e", r"spdx license identifier ruby"),
+    ("ruby", "licen", r"ruby licen[cs]e", r"ruby"),
     ("php-3.01", "licen", r"php licen[cs]e(?:(?: version| v)? 3 01)?", r"php 3 01"),
-    ("openssl", "licen", r"openssl licen[cs]e", r"spdx license identifier openssl"),
-    ("postgresql", "licen", r"postgresql licen[cs]e", r"spdx license identifier postgresql"),
-    ("ncsa", "licen", r"(?:university of illinois )?ncsa open source licen[cs]e", r"spdx license identifier ncsa"),
+    ("openssl", "licen", r"openssl licen[cs]e", r"openssl"),
+    ("postgresql", "licen", r"postgresql licen[cs]e", r"postgresql"),
+    ("ncsa", "licen", r"(?:university of illinois )?ncsa open source licen[cs]e", r"ncsa"),
     ("afl-3.0", "academic free license", r"academic free license(?:(?: version| v)? ?3(?: 0)?)?", r"afl 3 0"),
     ("osl-3.0", "open software license", r"open software license(?:(?: version| v)? ?3(?: 0)?)?", r"osl 3 0"),
     ("ecl-2.0", "educational community license", r"educational community license(?:(?: version| v)? ?2(?: 0)?)?", r"ecl 2 0"),

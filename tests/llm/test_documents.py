@@ -372,6 +372,18 @@ def test_licence_labels(spark, text, labels):
     assert set(row["labels"].split(",")) == labels
 
 
+def test_every_licence_is_found_by_its_identifier(spark):
+    unnamed = {"gpl", "lgpl", "gfdl", "apache", "bsd", "commons-clause", "public-domain", "proprietary"} | {x for x, *_ in licenses.LICENSES if re.fullmatch("cc-by[a-z-]*", x)}  # no identifier of their own
+    other = {"boost-1.0": "BSL-1.0", "mulan-psl-2.0": "MulanPSL-2.0", "python-2.0": "PSF-2.0", "libpng": "libpng-2.0"}
+    labels = sorted({x for x, *_ in licenses.LICENSES} - unnamed)
+    lines = [f"# SPDX-License-Identifier: {other.get(x, x.upper())}" for x in labels]
+    got = table(licenses.scan(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")))
+    assert {x: got[k]["labels"].split(",") for k, x in enumerate(labels) if x not in got[k]["labels"].split(",")} == {}
+    assert {got[k]["labels"] for k, x in enumerate(labels) if x in ("mit", "mit-0", "x11", "isc", "zlib", "unlicense", "ruby")} == {"mit", "mit-0", "x11", "isc", "zlib", "unlicense", "ruby"}
+    more = spark.createDataFrame([(1, '"license": "MIT",'), (2, "under the MIT/X11 License")], "doc_id long, text string")
+    assert {r["labels"] for r in licenses.scan(more).collect()} == {"mit"}
+
+
 def test_there_are_hundreds_of_rules():
     assert len(licenses.rules()) > 200
     for label, _, _, keyword, pattern in licenses.rules():
