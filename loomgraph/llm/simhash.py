@@ -32,7 +32,7 @@ _PLACE = np.arange(8, dtype=np.int64) * 256
 #: Shingles counted at once, rows linked at once, members of a table group in one unit of work.
 SHINGLES_AT_ONCE, ROWS_AT_ONCE, UNIT = 1 << 16, 200_000, 30_000
 #: Longs of parities of a set, documents looked at for common shingles, and how many of these are sent out.
-WORDS, SAMPLE, MOST_COMMON = 4, 4_000, 100_000
+WORDS, SAMPLE, MOST_COMMON = 8, 4_000, 100_000
 #: Rows of a group whose pairs are compared one by one, and size of a block of sets compared with each other.
 FEW, LEAST_BLOCK, MOST_BLOCK, BLOCK_ELEMENTS = 16, 110, 5_000, 5_000_000
 
@@ -349,12 +349,10 @@ def _possible(n: np.ndarray, sign: np.ndarray, a, b, similarity: float) -> np.nd
 
 
 def candidate_rows(group: np.ndarray, fp: np.ndarray, n: np.ndarray, *sign: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
-    """src, dst, many: every possible pair of a small group; of a group of over FEW rows links
-    (many) that connect what its possible pairs connect."""
+    """src, dst: a forest that connects what all possible pairs of the groups connect."""
     sign = np.stack(sign, axis=1).view(np.uint64)
     start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     size = np.diff(np.r_[start, len(group)])
-    pairs: list[tuple[np.ndarray, np.ndarray]] = []
     links: list[tuple[np.ndarray, np.ndarray]] = []
     for s, m in zip(start[size > FEW], size[size > FEW], strict=True):
         every = np.arange(s, s + m)
@@ -373,11 +371,9 @@ def candidate_rows(group: np.ndarray, fp: np.ndarray, n: np.ndarray, *sign: np.n
         a = np.repeat(member[part], each[part])
         b = a + 1 + _ramp(each[part])
         ok = _possible(n, sign, a, b, similarity)
-        pairs.append((fp[np.minimum(a[ok], b[ok])], fp[np.maximum(a[ok], b[ok])]))
-    x, y = (np.concatenate([np.zeros(0, dtype=np.int64), *[p[i] for p in pairs]]) for i in range(2))
-    u, v = (np.concatenate([np.zeros(0, dtype=np.int64), *[fp[q[i]] for q in links]]) for i in range(2))
-    u, v = _forest(u, v)
-    return np.r_[np.minimum(x, y), u], np.r_[np.maximum(x, y), v], np.r_[np.zeros(len(x), dtype=bool), np.ones(len(u), dtype=bool)]
+        links.append((a[ok], b[ok]))
+    src, dst = (np.concatenate([np.zeros(0, dtype=np.int64), *[fp[x[i]] for x in links]]) for i in range(2))
+    return _forest(src, dst)
 
 
 def similar_sets(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -433,9 +429,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 
     Components are those of all pairs of documents whose sets of shingles have at least
     `similarity`: every such pair shares an element of the two sets' prefixes (`prefix`), so
-    documents are grouped by these. Of a small group all pairs are compared that sizes and
-    parities leave possible; what large groups connect is compared whole, set against set,
-    in blocks. fp is the fingerprint, which decides nothing here. Null ids, null texts and
+    documents are grouped by these. What pairs connect that sizes and parities leave possible
+    is compared whole, set against set, in blocks. fp is the fingerprint, which decides nothing here. Null ids, null texts and
     repeated rows are as in `near_duplicates`; only texts of candidates are read again.
     """
     spark = docs.sparkSession
@@ -457,48 +452,31 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     marked = cut(map_text(source, described, ddl), "shingle-prefixes")
     known = cut(marked.groupBy("id").agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("n", *words, "keys")]), "distinct-sets")
     rows = known.select(F.explode("keys").alias("key"), F.col("id").alias("fp"), F.lit(True).alias("own"), "n", *words)
-    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("many", pa.bool_())])
-    found = _by_group(split_hot(rows), ["fp", "n", *words], schema, "src long, dst long, many boolean", lambda *x: candidate_rows(*x, similarity=similarity))
-    found = cut(found.distinct(), "candidates")
-
-    hot = cut(connected_components(found.where("many").select("src", "dst")).select(F.col("node").alias("id"), "root"), "hot-groups")
-    pairs = found.where("not many").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    for side in ("a", "b"):
-        pairs = pairs.join(hot.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-    pairs = cut(pairs.where("root_a IS NULL OR root_b IS NULL OR root_a != root_b").select("a", "b"), "pairs")
-
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(hot.select("id")).distinct(), "wanted")
-    of = known.select("id", "doc").join(wanted, "id", "left_semi").select(F.col("doc").alias("doc_id")).distinct()
+    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+    found = _by_group(split_hot(rows), ["fp", "n", *words], schema, "src long, dst long", lambda *x: candidate_rows(*x, similarity=similarity))
+    groups = cut(connected_components(found).select(F.col("node").alias("id"), "root"), "candidates")
+    of = known.select("id", "doc").join(groups, "id", "left_semi").select(F.col("doc").alias("doc_id")).distinct()
     texts = source.join(of, "doc_id", "left_semi").unionByName(source.where("doc_id IS NULL"))
 
     def sketched(values: list) -> dict[str, list]:
         sets = [shingle_set(t, shingle) for t in values]
         return {"id": [set_id(x) for x in sets], "set": [x.tobytes() for x in sets]}
 
-    sets = map_text(texts.select("text"), sketched, "id long, set binary").join(wanted, "id", "left_semi")
+    sets = map_text(texts.select("text"), sketched, "id long, set binary").join(groups, "id", "left_semi")
     sets = cut(sets.groupBy("id").agg(F.first("set").alias("set")), "shingles")
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (batch.column(i) for i in (2, 3))
-            ok = [jaccard(np.frombuffer(a[i].as_buffer(), "<u8"), np.frombuffer(b[i].as_buffer(), "<u8")) >= similarity for i in range(batch.num_rows)]
-            yield batch.select([0, 1]).filter(pa.array(ok, type=pa.bool_()))
-
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    links = both.select(F.col("a").alias("src"), F.col("b").alias("dst"), "set_a", "set_b").mapInArrow(compared, "src long, dst long")
-
     def within(table: pa.Table) -> pa.Table:
         each = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("set")]
         src, dst = similar_sets(table.column("id").to_numpy(), each, similarity)
         return pa.table({"src": pa.array(src), "dst": pa.array(dst)})
 
-    sized = hot.join(known.select("id", "n"), "id").groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("elements"))
-    a_block = F.least(F.greatest(F.col("rows") / 32, F.lit(LEAST_BLOCK)), F.lit(MOST_BLOCK))
+    sized = groups.join(known.select("id", "n"), "id").groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("elements"))
+    a_block = F.least(F.greatest(F.col("rows") / 16, F.lit(LEAST_BLOCK)), F.lit(MOST_BLOCK))
     blocks = F.greatest(F.ceil(F.col("rows") / a_block), F.ceil(F.col("elements") / BLOCK_ELEMENTS)).cast("int")
-    dealt = hot.join(sized.select("root", blocks.alias("blocks")), "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = groups.join(sized.select("root", blocks.alias("blocks")), "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("id", "root", (F.least("block", "other").cast("long") * F.col("blocks") + F.greatest("block", "other")).alias("unit"))
-    links = links.unionByName(dealt.join(sets, "id").groupBy("root", "unit").applyInArrow(within, "src long, dst long"))
+    links = dealt.join(sets, "id").groupBy("root", "unit").applyInArrow(within, "src long, dst long")
 
     merged = connected_components(links).select(F.col("node").alias("id"), "root")
     top = known.select("id", "doc").join(merged, "id", "left").select("id", "doc", F.coalesce("root", "id").alias("top"))
