@@ -50,6 +50,21 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def join_often(rows: DataFrame, table: DataFrame, key: str, most: int = 10_000) -> DataFrame:
+    """`rows` joined with `table` (one row a key, which counts its `rows`) on `key`.
+
+    Fewer than `most` keys can each hold more than one row in `most`; these are broadcast, a bound
+    that does not grow, and only the rows of the other keys are dealt by key."""
+    total = table.agg(F.sum("rows").alias("n")).first()["n"] or 0
+    often = F.col("rows") > max(10_000, total // most)
+    hot, rare = table.where(often).drop("rows"), table.where(~often).drop("rows")
+    if hot.isEmpty():
+        return rows.join(rare, key)
+    some = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rare, key)
+    return some.unionByName(rest)
+
+
 def text_or_empty(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

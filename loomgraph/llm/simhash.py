@@ -9,21 +9,24 @@ differ), which halves the ball without losing a pair.
 
 What leaves a table group is a forest over its linked fingerprints, not all pairs.
 
-`similar_documents` goes by exact likeness of shingle sets and finds candidates by
-prefixes of the sets, which lose no pair.
+`similar_components` goes by exact likeness of shingle sets. Its candidates are what the
+tables above link and, because sets of similarity 0.8 differ in about ten of 64 bits and
+so mostly lie outside any ball that can be enumerated, what agrees in a band of least hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import accumulate, combinations
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_text, text_or_empty
+from .common import cut, join_often, map_text, text_or_empty
 from .components import connected_components
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -31,10 +34,12 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 _PLACE = np.arange(8, dtype=np.int64) * 256
 #: Shingles counted at once, rows linked at once, members of a table group in one unit of work.
 SHINGLES_AT_ONCE, ROWS_AT_ONCE, UNIT = 1 << 16, 200_000, 30_000
-#: Longs of parities of a set, documents looked at for common shingles, and how many of these are sent out.
-WORDS, SAMPLE, MOST_COMMON = 8, 4_000, 100_000
-#: Rows of a group whose pairs are compared one by one, and size of a block of sets compared with each other.
-FEW, LEAST_BLOCK, MOST_BLOCK, BLOCK_ELEMENTS = 16, 110, 5_000, 5_000_000
+#: Least hashes of a band; chance at most that a similar pair shares no band, and that its sketches
+#: rule it out; least hashes of a sketch (two bits of each).
+ROWS, MISS, SKETCH = 4, 1e-6, 96
+#: Rows of a group whose pairs are compared one by one; elements of sets compared in one unit; pivots
+#: of a group too large for one unit.
+FEW, BLOCK_ELEMENTS, PIVOTS = 16, 1_000_000, 8
 
 
 def shingle_hashes(text: str, shingle: int) -> Iterator[np.ndarray]:
@@ -255,20 +260,24 @@ def link_groups(rows: DataFrame, max_bits: int) -> DataFrame:
 
 
 def split_hot(rows: DataFrame, unit: int = UNIT) -> DataFrame:
-    """Adds `unit`: a group of over `unit` entries is cut into blocks, and every pair of
-    blocks is a unit of work of its own, so no task holds a whole hot group."""
-    own = rows.where("own").groupBy("key").count().where(F.col("count") > unit)
-    hot = cut(own.select("key", F.ceil(F.col("count") / unit).cast("int").alias("blocks")), "hot-keys")
+    """Adds `unit`, so that no task holds a whole hot group: own entries are cut into blocks of about
+    `unit`, look-ups too; every pair of blocks of own entries is a unit of work, and so is every block
+    of look-ups with one of own entries. Look-ups of a hot key without own entries are dropped."""
+    counts = rows.groupBy("key").agg(F.count(F.when(F.col("own"), 1)).alias("mine"), F.count(F.when(~F.col("own"), 1)).alias("theirs"))
+    counts = counts.where(F.greatest("mine", "theirs") > unit)
+    hot = cut(counts.select("key", *[F.ceil(F.col(c) / unit).cast("int").alias(c) for c in ("mine", "theirs")]), "hot-keys")
     if hot.isEmpty():
         return rows.withColumn("unit", F.lit(0))
-    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    wide = rows.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    wide = wide.withColumn("block", block).withColumn("other", other)
-    return wide.select(
-        "key", "fp", "own", *[c for c in rows.columns if c not in ("key", "fp", "own")],
-        (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("unit"),
-    )
+
+    def numbers(to: F.Column) -> F.Column:
+        return F.when(to > 0, F.sequence(F.lit(0), to - 1)).otherwise(F.array().cast("array<int>"))
+
+    mine, theirs, h = F.col("mine"), F.col("theirs"), F.xxhash64("fp")
+    i, k, look = F.pmod(h, mine).cast("int"), F.pmod(h, theirs).cast("int"), mine * mine
+    as_own = F.concat(F.transform(numbers(mine), lambda j: F.least(i, j) * mine + F.greatest(i, j)), F.transform(numbers(theirs), lambda x: look + i * theirs + x))
+    as_look = F.transform(numbers(mine), lambda j: look + j * theirs + k)
+    units = F.when(mine.isNull(), F.array(F.lit(0))).when(F.col("own"), as_own).otherwise(as_look)
+    return rows.join(hot, "key", "left").withColumn("unit", F.explode(units)).drop("mine", "theirs")
 
 
 def near_duplicates(
@@ -288,14 +297,18 @@ def near_duplicates(
     10^8 fingerprints, 2 more; the result is the same.
     """
     marked = cut(fingerprints(docs, shingle), "fingerprints")
-    known = marked.groupBy("fp").agg(F.min("doc_id").alias("doc"))
-    rows = split_hot(table_rows(known, max_bits, segments))
-    stars = connected_components(link_groups(rows, max_bits))
+    known = marked.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("rows"))
+    stars = connected_components(fingerprint_links(known, max_bits, segments))
     linked = stars.join(known, stars.node == known.fp).select("node", "root", "doc")
     least = linked.groupBy("root").agg(F.min("doc").alias("component_id"))
     named = linked.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    table = known.join(named, "fp", "left").select("fp", F.coalesce("component_id", "doc").alias("component_id"))
-    return marked.join(table, "fp").select("doc_id", "fp", "component_id")
+    table = known.join(named, "fp", "left").select("fp", "rows", F.coalesce("component_id", "doc").alias("component_id"))
+    return join_often(marked, cut(table, "components"), "fp").select("doc_id", "fp", "component_id")
+
+
+def fingerprint_links(known: DataFrame, max_bits: int, segments: int) -> DataFrame:
+    """src, dst: links over the distinct `fp` of `known` that connect all pairs within `max_bits`."""
+    return link_groups(split_hot(table_rows(known, max_bits, segments)), max_bits)
 
 
 def shingle_set(text: str, shingle: int) -> np.ndarray:
@@ -320,49 +333,82 @@ def set_id(shingles: np.ndarray) -> int:
     return int(np.uint64(xxh64_intdigest(shingles.tobytes(), 7)).view(np.int64))
 
 
-def _least_shared(n: int, similarity: float) -> int:
-    """Elements that a set of n has in common with any set of that similarity, at least."""
-    return max(1, int(np.ceil(similarity * n - 1e-9)))
+def bands_for(similarity: float, rows: int = ROWS, miss: float = MISS) -> int:
+    """Bands of `rows` least hashes, of which sets of at least `similarity` share one but with the chance `miss`."""
+    return ceil(log(miss) / log(1 - similarity**rows)) if similarity < 1 else 1
+
 
+def least_agreeing(similarity: float, of: int = SKETCH, miss: float = MISS) -> int:
+    """The two-bit numbers that agree of `of`, at least, but with the chance `miss`, in sketches of similar sets."""
+    p, total = similarity + (1 - similarity) / 4, 0.0
+    for k in range(of + 1):
+        total += comb(of, k) * p**k * (1 - p) ** (of - k)
+        if total > miss:
+            return k
+    return of
 
-def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
-    """The first elements of a set in an order that all sets share: two sets of at least
-    `similarity` have one of them in common, whatever the order. `common` (sorted) comes last."""
-    n = len(shingles) - _least_shared(len(shingles), similarity) + 1
-    if not len(shingles):
-        return shingles
-    late = common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles if len(common) else np.zeros(len(shingles), dtype=bool)
-    return np.r_[shingles[~late], shingles[late]][:n]
 
+def _numbers_of(n: int, seed: int) -> np.ndarray:
+    """n well mixed 64-bit numbers by a rule."""
+    x = (np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-def parities(shingles: np.ndarray) -> np.ndarray:
-    """64 * WORDS parities of the elements' numbers: two sets differ in at least as many elements as their parities."""
-    odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (64 * WORDS - 1), minlength=64 * WORDS) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+@lru_cache(maxsize=4)
+def _hashers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return (_numbers_of(n, 0) >> np.uint64(32)).astype(np.uint32)[:, None] | np.uint32(1), (_numbers_of(n, 1000) >> np.uint64(32)).astype(np.uint32)[:, None]
+
+
+def least_hashes(shingles: np.ndarray, n: int) -> np.ndarray:
+    """The least of n 32-bit hashes of a set's elements: two sets agree in a share of them that is near their similarity."""
+    x, (factors, flips) = (shingles >> np.uint64(32)).astype(np.uint32), _hashers(n)
+    out = np.full(n, 0xFFFFFFFF, dtype=np.uint32)
+    for at in range(0, len(x), 2048):
+        out = np.minimum(out, (x[None, at : at + 2048] * factors ^ flips).min(axis=1))
+    return out
 
 
-def _possible(n: np.ndarray, sign: np.ndarray, a, b, similarity: float) -> np.ndarray:
-    """False only for pairs whose sizes or parities rule the similarity out."""
+def band_keys(least: np.ndarray, bands: int) -> np.ndarray:
+    """A number of each band of least hashes, as signed integers."""
+    out = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    for column in least[: bands * ROWS].reshape(bands, ROWS).T.astype(np.uint64):
+        out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def sketch(least: np.ndarray) -> np.ndarray:
+    """Two mixed bits of each of the first `SKETCH` least hashes, as longs."""
+    mixed = ((least[:SKETCH] * np.uint32(0x9E3779B1)) ^ (least[:SKETCH] >> np.uint32(15))) * np.uint32(0x85EBCA77) >> np.uint32(30)
+    bits = np.stack([mixed & np.uint32(1), mixed >> np.uint32(1)], axis=1).astype(np.uint8).ravel()
+    return np.packbits(bits, bitorder="little").view("<i8")
+
+
+def _possible(n: np.ndarray, sign: np.ndarray, a, b, similarity: float, agreeing: int) -> np.ndarray:
+    """False only for pairs that sizes or sketches rule out."""
     na, nb = n[a], n[b]
-    differ = np.bitwise_count(sign[a] ^ sign[b]).sum(axis=-1, dtype=np.int64)
-    return (np.minimum(na, nb) >= similarity * np.maximum(na, nb) - 1e-9) & (differ <= (na + nb) * (1 - similarity) / (1 + similarity) + 1e-9)
+    x = sign[a] ^ sign[b]
+    differ = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=-1, dtype=np.int64)
+    return (np.minimum(na, nb) >= similarity * np.maximum(na, nb) - 1e-9) & (differ <= SKETCH - agreeing)
 
 
 def candidate_rows(group: np.ndarray, fp: np.ndarray, n: np.ndarray, *sign: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
     """src, dst: a forest that connects what all possible pairs of the groups connect."""
-    sign = np.stack(sign, axis=1).view(np.uint64)
+    sign, agreeing = np.stack(sign, axis=1).view(np.uint64), least_agreeing(similarity)
     start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     size = np.diff(np.r_[start, len(group)])
     links: list[tuple[np.ndarray, np.ndarray]] = []
     for s, m in zip(start[size > FEW], size[size > FEW], strict=True):
         every = np.arange(s, s + m)
         pivot = every[np.argsort(n[every])[m // 2]]
-        near = _possible(n, sign, pivot, every, similarity)
+        near = _possible(n, sign, pivot, every, similarity, agreeing)
         links.append((np.full(near.sum(), pivot), every[near]))
         far, step = every[~near], max(1, (1 << 18) // m)
         for at in range(0, len(far), step):
             rows = far[at : at + step]
-            r, c = np.nonzero(_possible(n, sign, rows[:, None], every[None, :], similarity))
+            r, c = np.nonzero(_possible(n, sign, rows[:, None], every[None, :], similarity, agreeing))
             links.append(_forest(rows[r], every[c]))
     member = np.flatnonzero(np.repeat((size > 1) & (size <= FEW), size))
     end = np.repeat(start + size, size)
@@ -370,7 +416,7 @@ def candidate_rows(group: np.ndarray, fp: np.ndarray, n: np.ndarray, *sign: np.n
     for part in np.array_split(np.arange(len(member)), max(1, int(each.sum() // 500_000))):
         a = np.repeat(member[part], each[part])
         b = a + 1 + _ramp(each[part])
-        ok = _possible(n, sign, a, b, similarity)
+        ok = _possible(n, sign, a, b, similarity, agreeing)
         links.append((a[ok], b[ok]))
     src, dst = (np.concatenate([np.zeros(0, dtype=np.int64), *[fp[x[i]] for x in links]]) for i in range(2))
     return _forest(src, dst)
@@ -407,81 +453,142 @@ def similar_sets(ids: np.ndarray, sets: list[np.ndarray], similarity: float) ->
     return np.array(src, dtype=np.int64), np.array(dst, dtype=np.int64)
 
 
-def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
-    """Sorted shingles of at least three of some thousand documents, the commonest of them. They
-    only set an order, so that few documents meet at what many have."""
-    share = max(1, docs.count() // SAMPLE)
-    some = docs.where(F.pmod(F.xxhash64(*[c for c in docs.columns if c != "text"]), F.lit(share)) == 0)
-    schema = pa.schema([("h", pa.int64())])
+def _candidates(known: DataFrame, similarity: float, max_bits: int, segments: int) -> DataFrame:
+    """src, dst: links between ids of sets that connect all pairs that may be similar: fingerprints
+    within `max_bits`, and sets with a band in common that sizes and sketches leave possible."""
+    named = known.groupBy("fp").agg(F.min("id").alias("first"))
+    by_bits = fingerprint_links(named, max_bits, segments)
+    for end in ("src", "dst"):
+        by_bits = by_bits.join(named.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_id")), end)
+    same = known.join(named, "fp").select(F.col("id").alias("src"), F.col("first").alias("dst")).where("src != dst")
+    signs = [c for c in known.columns if c[0] == "s" and c[1:].isdigit()]
+    rows = known.select(F.explode("keys").alias("key"), F.col("id").alias("fp"), F.lit(True).alias("own"), "n", *signs)
+    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+    by_bands = _by_group(split_hot(rows), ["fp", "n", *signs], schema, "src long, dst long", lambda *x: candidate_rows(*x, similarity=similarity))
+    return by_bands.unionByName(by_bits.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))).unionByName(same)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, shingle).view("<i8"))], schema=schema)
 
-    often = some.select("text").mapInArrow(run, "h long").groupBy("h").count().where("count > 2")
-    got = [r["h"] for r in often.orderBy(F.desc("count"), "h").limit(MOST_COMMON).collect()]
-    return np.sort(np.array(got, dtype=np.int64).view(np.uint64))
+def _sets_of(source: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+    """id, set of each member, from the texts of one document of each; one row an id."""
+    docs = members.select(F.col("doc").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    texts = source.join(docs, "doc_id", "left_semi").unionByName(source.where("doc_id IS NULL"))
+
+    def sketched(values: list) -> dict[str, list]:
+        sets = [shingle_set(t, shingle) for t in values]
+        return {"id": [set_id(x) for x in sets], "set": [x.tobytes() for x in sets]}
+
+    return map_text(texts.select("text"), sketched, "id long, set binary").groupBy("id").agg(F.first("set").alias("set"))
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, fp, component_id as `near_duplicates` gives them, for a similarity of shingle sets.
+def _verified(dealt: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """src, dst: links that connect what all similar pairs of one root within one unit connect."""
 
-    Components are those of all pairs of documents whose sets of shingles have at least
-    `similarity`: every such pair shares an element of the two sets' prefixes (`prefix`), so
-    documents are grouped by these. What pairs connect that sizes and parities leave possible
-    is compared whole, set against set, in blocks. fp is the fingerprint, which decides nothing here. Null ids, null texts and
-    repeated rows are as in `near_duplicates`; only texts of candidates are read again.
+    def within(table: pa.Table) -> pa.Table:
+        ids, roots = (table.column(c).to_numpy() for c in ("id", "root"))
+        order = np.lexsort((ids, roots))
+        order = order[np.r_[True, (ids[order[1:]] != ids[order[:-1]]) | (roots[order[1:]] != roots[order[:-1]])]]
+        each, src, dst = table.column("set"), [], []
+        for part in np.split(order, np.flatnonzero(np.diff(roots[order])) + 1):
+            found = similar_sets(ids[part], [np.frombuffer(each[int(i)].as_buffer(), "<u8") for i in part], similarity)
+            src.append(found[0])
+            dst.append(found[1])
+        return pa.table({"src": pa.array(np.concatenate(src)), "dst": pa.array(np.concatenate(dst))})
+
+    return dealt.join(sets, "id").select("id", "root", "unit", "set").groupBy("unit").applyInArrow(within, "src long, dst long")
+
+
+def _numbers(to: F.Column) -> F.Column:
+    return F.sequence(F.lit(0), to - 1)
+
+
+def _compared(members: DataFrame, sets: DataFrame, similarity: float, elements: int) -> DataFrame:
+    """src, dst: links that connect all similar pairs within the roots of `members` (id, root, n).
+
+    Roots of up to `elements` elements are dealt whole to units of about that size. A larger one is
+    cut into blocks, each compared within itself and with some pivots; then what isn't connected to
+    the root's largest class is compared with all blocks. So a group of copies of one text is sent
+    about once, and only what stays apart is compared across blocks."""
+    blocks = F.ceil(F.col("total") / elements).cast("int")
+    sized = members.groupBy("root").agg(F.sum("n").alias("total"), *[F.min_by("id", F.xxhash64("id", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)])
+    sized = cut(sized.withColumn("blocks", F.greatest(blocks, F.lit(1))), "candidate-groups")
+    rest = sized.where("blocks = 1").agg(F.sum("total").alias("total")).first()["total"] or 0
+    unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(rest // elements + 1))).otherwise(F.xxhash64("root", "block"))
+    placed = members.join(sized.select("root", "blocks"), "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = placed.select("id", "root", unit.alias("unit"))
+    large = sized.where("blocks > 1")
+    if large.isEmpty():
+        return _verified(dealt, sets, similarity)
+    pivots = large.select("root", "blocks", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("id"))
+    pivots = pivots.withColumn("block", F.explode(_numbers(F.col("blocks")))).select("id", "root", unit.alias("unit"))
+    first = cut(_verified(dealt.unionByName(pivots), sets, similarity), "links")
+    named = connected_components(first).select(F.col("node").alias("id"), F.col("root").alias("class"))
+    apart = placed.where("blocks > 1").join(named, "id", "left").withColumn("class", F.coalesce("class", "id"))
+    apart = cut(apart, "classes")
+    largest = apart.groupBy("root", "class").count().groupBy("root").agg(F.max_by("class", F.struct("count", "class")).alias("largest"))
+    far = apart.join(largest, "root").where("class != largest")
+    parts = far.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / elements), F.lit(1)).cast("int").alias("parts"))
+    parts = cut(parts, "apart")
+    if parts.isEmpty():
+        return first
+    a_unit = F.xxhash64("root", "part", "block", F.lit("apart"))
+    outer = far.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts")).cast("int"))
+    outer = outer.withColumn("block", F.explode(_numbers(F.col("blocks")))).select("id", "root", a_unit.alias("unit"))
+    every = apart.join(parts, "root").withColumn("part", F.explode(_numbers(F.col("parts")))).select("id", "root", a_unit.alias("unit"))
+    return first.unionByName(_verified(outer.unionByName(every), sets, similarity))
+
+
+def similar_components(
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bits: int = 4, segments: int = 3, elements: int = BLOCK_ELEMENTS
+) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, id of every row; id, rows, component_id of every distinct set of shingles).
+
+    Components are those of all pairs of texts whose sets of shingles have at least `similarity`
+    (texts with equal sets are alike, also those without words). Candidates are fingerprints within
+    `max_bits` by the tables and sets that share a band of least hashes, which a similar pair fails to
+    do with a chance of at most `MISS`; every link is the outcome of a comparison of two whole sets.
+    Null ids, null texts and repeated rows are as in `near_duplicates`; only texts of candidates are
+    read again. Very long texts are hashed a bounded number of shingles at a time.
     """
-    spark = docs.sparkSession
     source = docs.select("doc_id", text_or_empty().alias("text"))
-    common = spark.sparkContext.broadcast(common_shingles(source, shingle))
-    words = [f"s{i}" for i in range(WORDS)]
+    bands, longs = bands_for(similarity), SKETCH // 32
+    hashes = max(bands * ROWS, SKETCH)
 
     def described(texts: list) -> dict[str, list]:
-        out: dict[str, list] = {c: [] for c in ("fp", "id", "n", *words, "keys")}
+        out: dict[str, list] = {c: [] for c in ("fp", "id", "n", *[f"s{i}" for i in range(longs)], "keys")}
         for text in texts:
             parts = list(shingle_hashes(text, shingle))
             own = _distinct(parts)
-            row = (_folded(parts), set_id(own), len(own), *map(int, parities(own)), prefix(own, similarity, common.value).view("<i8"))
+            least = least_hashes(own, hashes)
+            row = (_folded(parts), set_id(own), len(own), *map(int, sketch(least)), band_keys(least, bands) if len(own) else [])
             for c, x in zip(out, row, strict=True):
                 out[c].append(x)
         return out
 
-    ddl = f"fp long, id long, n int, {', '.join(f'{w} long' for w in words)}, keys array<long>"
-    marked = cut(map_text(source, described, ddl), "shingle-prefixes")
-    known = cut(marked.groupBy("id").agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("n", *words, "keys")]), "distinct-sets")
-    rows = known.select(F.explode("keys").alias("key"), F.col("id").alias("fp"), F.lit(True).alias("own"), "n", *words)
-    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
-    found = _by_group(split_hot(rows), ["fp", "n", *words], schema, "src long, dst long", lambda *x: candidate_rows(*x, similarity=similarity))
-    groups = cut(connected_components(found).select(F.col("node").alias("id"), "root"), "candidates")
-    of = known.select("id", "doc").join(groups, "id", "left_semi").select(F.col("doc").alias("doc_id")).distinct()
-    texts = source.join(of, "doc_id", "left_semi").unionByName(source.where("doc_id IS NULL"))
+    signs = [f"s{i}" for i in range(longs)]
+    ddl = f"fp long, id long, n int, {', '.join(f'{s} long' for s in signs)}, keys array<long>"
+    marked = cut(map_text(source, described, ddl), "shingle-bands")
+    each = [F.first(c).alias(c) for c in ("fp", "n", *signs, "keys")]
+    known = cut(marked.groupBy("id").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("rows"), *each), "distinct-sets")
+    groups = connected_components(_candidates(known, similarity, max_bits, segments)).select(F.col("node").alias("id"), "root")
+    members = cut(known.select("id", "doc", "n").join(groups, "id"), "candidates")
+    links = _compared(members, _sets_of(source, members, shingle), similarity, elements)
+    merged = connected_components(links).select(F.col("node").alias("id"), "root")
+    top = known.select("id", "doc", "rows").join(merged, "id", "left").withColumn("top", F.coalesce("root", "id"))
+    least = top.groupBy("top").agg(F.min("doc").alias("component_id"))
+    return marked.select("doc_id", "fp", "id"), cut(top.join(least, "top").select("id", "rows", "component_id"), "components")
 
-    def sketched(values: list) -> dict[str, list]:
-        sets = [shingle_set(t, shingle) for t in values]
-        return {"id": [set_id(x) for x in sets], "set": [x.tobytes() for x in sets]}
 
-    sets = map_text(texts.select("text"), sketched, "id long, set binary").join(groups, "id", "left_semi")
-    sets = cut(sets.groupBy("id").agg(F.first("set").alias("set")), "shingles")
+def similar_documents(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, fp, component_id of every row of `docs`, by `similar_components`."""
+    marked, table = similar_components(docs, **options)
+    return join_often(marked, table, "id").select("doc_id", "fp", "component_id")
 
-    def within(table: pa.Table) -> pa.Table:
-        each = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("set")]
-        src, dst = similar_sets(table.column("id").to_numpy(), each, similarity)
-        return pa.table({"src": pa.array(src), "dst": pa.array(dst)})
-
-    sized = groups.join(known.select("id", "n"), "id").groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("elements"))
-    a_block = F.least(F.greatest(F.col("rows") / 16, F.lit(LEAST_BLOCK)), F.lit(MOST_BLOCK))
-    blocks = F.greatest(F.ceil(F.col("rows") / a_block), F.ceil(F.col("elements") / BLOCK_ELEMENTS)).cast("int")
-    dealt = groups.join(sized.select("root", blocks.alias("blocks")), "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("id", "root", (F.least("block", "other").cast("long") * F.col("blocks") + F.greatest("block", "other")).alias("unit"))
-    links = dealt.join(sets, "id").groupBy("root", "unit").applyInArrow(within, "src long, dst long")
 
-    merged = connected_components(links).select(F.col("node").alias("id"), "root")
-    top = known.select("id", "doc").join(merged, "id", "left").select("id", "doc", F.coalesce("root", "id").alias("top"))
-    least = top.groupBy("top").agg(F.min("doc").alias("component_id"))
-    return marked.select("doc_id", "fp", "id").join(top.join(least, "top").select("id", "component_id"), "id").select("doc_id", "fp", "component_id")
+def keep_similar(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `docs` that `keep_first` keeps of components of similar texts: only their first
+    ids are joined, so that no join has a key that copies share."""
+    _, table = similar_components(docs, **options)
+    return _kept(docs, table.select(F.col("component_id").alias("doc_id")).where("doc_id IS NOT NULL"))
 
 
 def hex_digits(fp: str = "fp") -> F.Column:
@@ -491,9 +598,13 @@ def hex_digits(fp: str = "fp") -> F.Column:
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of `docs` whose doc_id names their component in `found`; of rows that
     repeat such an id one stays, and rows without an id stay."""
-    reps = found.where(F.col("component_id") == F.col("doc_id")).select("doc_id")
-    repeated = not reps.groupBy("doc_id").count().where("count > 1").isEmpty()
-    kept = docs.join(reps.distinct(), "doc_id", "left_semi")
-    if repeated:
+    return _kept(docs, found.where(F.col("component_id") == F.col("doc_id")).select("doc_id"))
+
+
+def _kept(docs: DataFrame, named: DataFrame) -> DataFrame:
+    named = named.distinct()
+    kept = docs.join(named, "doc_id", "left_semi")
+    rows = docs.select("doc_id").join(named, "doc_id", "left_semi").groupBy("doc_id").count()
+    if not rows.where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
