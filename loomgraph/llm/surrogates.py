@@ -2,25 +2,30 @@
 
 Detected entities (mail addresses, phone and card numbers, network addresses, account
 and social security numbers, secrets, names after a title) are replaced by invented
-ones of the same type: digits stay digits in the same layout, a card keeps its issuer's
-first digit and a valid check digit, a key keeps its prefix, a name keeps title, gender
-and script. A surrogate is a keyed digest of the entity's plain form, so an entity is
-replaced alike wherever it stands; a check over all entities of the corpus makes two
-entities never share a surrogate, and no surrogate equal a real entity.
+ones of the same type: digits stay digits and letters letters in the same layout, cards
+keep their issuer's prefix and, like account numbers, valid check digits, private
+addresses stay private and public ones become reserved ones, a key keeps its prefix, a
+name keeps title, gender and script. A surrogate is a keyed digest (HMAC) of the
+entity's plain form, so an entity is replaced alike wherever it stands; given and family
+names are entities of their own, so a family name alone and within a full name have one
+stand-in. A check over all entities of the corpus makes two entities never share a
+surrogate, and no surrogate equal a real entity.
 """
 
 from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, scratch_path, text_or_empty
+from .common import cut, join_often, scratch_path, text_or_empty
 
+#: Session setting that holds the key; without it the key is the word given here.
+KEY_SETTING, DEFAULT_KEY = "spark.loomgraph.surrogates.key", "loomgraph"
 #: Tries after which surrogates get longer, by one sign more with each try: of names (whose space
 #: is small), and of other types (which then leave their layout). So every entity finds a free one.
-WIDER_NAME, WIDER = 3, 12
+WIDER_NAME, WIDER = 1, 12
 
 _TITLES = {
     "m": ("Mr", "Herrn", "Herr", "Monsieur", "Señor", "Sr", "Don", "господин", "Господин"),
@@ -30,7 +35,7 @@ _TITLES = {
 _ALL_TITLES = "|".join(sorted({t for ts in _TITLES.values() for t in ts}, key=lambda t: (-len(t), t)))
 #: Types in the order in which a match is tried, each with its pattern.
 PATTERNS = (
-    ("email", r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*+@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}"),
+    ("email", r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*+@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.){1,40}[A-Za-z]{2,63}(?![A-Za-z0-9])"),
     ("cloud_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
     ("secret", r"\b(?:(?i:password|passwd|pwd|token|secret|api[_\-]?key|access[_\-]?key))\s?[=:]\s?[\"']?(?=[_\-+/.]*[A-Za-z0-9])[A-Za-z0-9_\-+/.]{8,}"),
     ("ip", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"),
@@ -63,7 +68,7 @@ _SYLLABLES = {
 }
 
 
-def type_of(m: F.Column) -> F.Column:
+def type_of(m: Column) -> Column:
     """The type whose pattern a whole match has; the first of `PATTERNS`."""
     out = F.lit("name")
     for name, pattern in reversed(PATTERNS[:-1]):
@@ -75,7 +80,7 @@ _SECRET_LEAD = r"^([A-Za-z_\-]+\s?[=:]\s?[\"']?)"
 _NAME_LEAD = rf"^((?:{_ALL_TITLES})\.? )"
 
 
-def plain_form(kind: F.Column, m: F.Column) -> F.Column:
+def plain_form(kind: Column, m: Column) -> Column:
     """What is the same for all spellings of an entity: digits of numbers, lower case of addresses and names."""
     digits = F.regexp_replace(m, "[^0-9]", "")
     return (
@@ -88,84 +93,109 @@ def plain_form(kind: F.Column, m: F.Column) -> F.Column:
     )
 
 
-def gender_of(kind: F.Column, m: F.Column) -> F.Column:
+def gender_of(kind: Column, m: Column) -> Column:
     title = F.regexp_extract(m, rf"^({_ALL_TITLES})\b", 1)
     return F.when(kind != "name", F.lit("n")).when(title.isin(*_TITLES["m"]), F.lit("m")).when(title.isin(*_TITLES["f"]), F.lit("f")).otherwise(F.lit("n"))
 
 
-def _digits(digest: F.Column, n: int = 36) -> F.Column:
+def tokens_of(kind: Column, m: Column) -> Column:
+    """The entities of a match as an array of (lead, kind, m): a name's given name and family names
+    each for itself, with what stands before it in the match; any other match is one."""
+    plain = F.regexp_replace(m, _NAME_LEAD, "")
+    words = F.split(plain, "[ -]")
+    two, spaced = F.size(words) == 2, F.contains(plain, F.lit(" "))
+    title = F.regexp_extract(m, _NAME_LEAD, 1)
+    first = F.struct(title.alias("lead"), F.when(two & spaced, F.lit("given")).otherwise(F.lit("family")).alias("kind"), words[0].alias("m"))
+    second = F.struct(F.when(spaced, F.lit(" ")).otherwise(F.lit("-")).alias("lead"), F.lit("family").alias("kind"), F.get(words, F.lit(1)).alias("m"))
+    one = F.struct(F.lit("").alias("lead"), kind.alias("kind"), m.alias("m"))
+    return F.when(kind != "name", F.array(one)).when(two, F.array(first, second)).otherwise(F.array(first))
+
+
+def keyed_digest(message: Column, key: str) -> Column:
+    """HMAC-SHA-256 of a text, as hex digits."""
+    import hashlib
+
+    raw = key.encode()
+    raw = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(x ^ pad for x in raw)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
+
+
+def _digits(digest: Column, n: int = 36) -> Column:
     """Decimal digits from a hex digest: 18 from each 15 hex digits."""
     parts = [F.lpad(F.conv(F.substring(digest, at, 15), 16, 10), 18, "0") for at in (1, 16, 31)]
     return F.substring(F.concat(*[F.reverse(p) for p in parts]), 1, n)
 
 
-def _pick(names: list[str], digest: F.Column, at: int | F.Column) -> F.Column:
+def _pick(names: list[str], digest: Column, at: int | Column) -> Column:
     hexes = "0123456789abcdef"
-    place = F.instr(F.lit(hexes), F.substring(digest, at if isinstance(at, F.Column) else F.lit(at), F.lit(1)))
+    place = F.instr(F.lit(hexes), F.substring(digest, at if isinstance(at, Column) else F.lit(at), F.lit(1)))
     return F.element_at(F.array(*[F.lit(x) for x in names]), place)
 
 
-def _luhn(body: F.Column) -> F.Column:
+def _luhn(body: Column) -> Column:
     """The check digit that follows `body`."""
     spots = F.transform(F.split(F.reverse(body), ""), lambda d, i: F.when(i % 2 == 0, (d.cast("int") * 2) % 10 + F.floor(d.cast("int") / 5)).otherwise(d.cast("int")).cast("int"))
     total = F.aggregate(spots, F.lit(0), lambda a, x: a + x)
     return ((10 - total % 10) % 10).cast("string")
 
 
-def _letters_like(plain: F.Column, digest: F.Column) -> F.Column:
+def _iban_check(country: Column, body: Column) -> Column:
+    """The two check digits between country and body: 98 less the rest by 97, letters counting 10 to 35."""
+    signs = F.split(F.concat(body, country, F.lit("00")), "")
+    rest = F.aggregate(signs, F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + c.cast("int")) % 97).when(c == "", a).otherwise((a * 100 + F.ascii(c) - 55) % 97).cast("int"))
+    return F.lpad((98 - rest).cast("string"), 2, "0")
+
+
+def _letters_like(plain: Column, digest: Column) -> Column:
     """Characters of the same classes (upper, lower, digit, hex text as hex) in the same places."""
-    long = F.repeat(digest, F.ceil(F.length(plain) / 60).cast("int") + 1)
-    code = F.instr(F.lit("0123456789abcdef"), F.lit("0"))  # keeps the expression tree literal
-    upper = F.translate(long, "0123456789abcdef", "BCDFGHJKLMNPQRST")
-    lower = F.translate(long, "0123456789abcdef", "bcdfghjklmnpqrst")
-    digit = F.translate(long, "abcdef", "135790")
-    is_hex = plain.rlike("^[0-9a-f]+$")
-
-    def one(c, i):
-        at = i + code
+    hexes = "0123456789abcdef"
+    long = F.substring(F.repeat(digest, F.ceil(F.length(plain) / 60).cast("int") + 1), F.lit(1), F.length(plain))
+    is_hex = plain.rlike("^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{16,}$")
+
+    def one(c, h):
         return (
-            F.when(is_hex, F.substring(long, at, F.lit(1)))
-            .when(c.rlike("[A-Z]"), F.substring(upper, at, F.lit(1)))
-            .when(c.rlike("[a-z]"), F.substring(lower, at, F.lit(1)))
-            .when(c.rlike("[0-9]"), F.substring(digit, at, F.lit(1)))
+            F.when(c.rlike("[A-Z]"), F.translate(h, hexes, "BCDFGHJKLMNPQRST"))
+            .when(c.rlike("[a-z]"), F.translate(h, hexes, "bcdfghjklmnpqrst"))
+            .when(c.rlike("[0-9]"), F.translate(h, "abcdef", "135790"))
             .otherwise(c)
         )
 
-    return F.array_join(F.transform(F.split(plain, ""), one), "")
+    return F.when(is_hex, long).otherwise(F.array_join(F.zip_with(F.split(plain, ""), F.split(long, ""), one), ""))
 
 
-def surrogate(kind: F.Column, plain: F.Column, gender: F.Column, attempt: F.Column, key: str) -> F.Column:
+def surrogate(kind: Column, plain: Column, gender: Column, attempt: Column, key: str) -> Column:
     """The plain form of an entity's stand-in at its `attempt`."""
     extra = F.greatest(attempt - WIDER, F.lit(0))
-    more = F.greatest(attempt - WIDER_NAME, F.lit(0))
-    digest = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, plain, attempt.cast("string")), 256)
-    host = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("host"), F.substring_index(plain, "@", -1)), 256)
+    more = F.greatest(attempt - WIDER_NAME + 1, F.lit(0))
+    digest = keyed_digest(F.concat_ws("\x1f", kind, plain, attempt.cast("string")), key)
+    host = keyed_digest(F.concat_ws("\x1f", F.lit("host"), F.substring_index(plain, "@", -1)), key)
     word = F.translate(digest, "0123456789abcdef", "bcdfghjklmnpqrst")
-    vowels = F.translate(F.reverse(digest), "0123456789abcdef", "aeiouaeiouaeioua")
-    local = F.concat(*[F.concat(F.substring(word, i, 1), F.substring(vowels, i, 1)) for i in range(1, 6)], _digits(digest, 3))
     host_word = F.translate(host, "0123456789abcdef", "bcdfghjklmnpqrst")
-    mail = F.concat(local, F.substring(word, F.lit(9), extra), F.lit("@"), F.substring(host_word, 1, 6), F.lit(".example.org"))
+    mail = F.concat(_letters_like(F.substring_index(plain, "@", 1), digest), F.substring(word, F.lit(9), extra), F.lit("@"), F.substring(host_word, 1, 8), F.lit(".example.org"))
     digits = _digits(digest, 54)
     size = F.length(plain)
     tail = F.substring(digits, size + 1, extra)
-    card_body = F.concat(F.substring(plain, 1, 1), F.substring(digits, F.lit(1), size - 2 + extra))
+    issuer = F.when(plain.startswith("60"), F.lit(4)).otherwise(F.lit(2))
+    card_body = F.concat(F.substring(plain, F.lit(1), issuer), F.substring(digits, F.lit(1), size - 1 - issuer + extra))
     number = F.substring(digits, F.lit(1), size + extra)
     # numbers keep a leading country code of 1 and never start an area with 0 or 1
     phone = F.concat(F.when(size > 10, F.substring(plain, F.lit(1), size - 10)).otherwise(F.lit("")), F.translate(F.substring(digits, 1, 1), "01", "24"), F.substring(digits, F.lit(2), F.least(size, F.lit(10)) - 1), tail)
     octets = [F.conv(F.substring(digest, i, 4), 16, 10).cast("int") % 254 + 1 for i in (1, 5, 9, 13)]
-    ip = F.concat(F.concat_ws(".", *octets), F.when(extra > 0, F.concat(F.lit("."), F.substring(digits, F.lit(1), extra))).otherwise(F.lit("")))
+    # private addresses stay within 10/8, loop-back ones within 127/8; others become reserved ones (240/4)
+    network = F.when(plain.rlike(r"^(?:10|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))\."), F.lit(10)).when(plain.startswith("127."), F.lit(127)).otherwise(octets[0] % 15 + 240)
+    ip = F.concat(F.concat_ws(".", network.cast("string"), *octets[1:]), F.when(extra > 0, F.concat(F.lit("."), F.substring(digits, F.lit(1), extra))).otherwise(F.lit("")))
     cloud = F.concat(F.substring(plain, 1, 4), F.substring(F.translate(digest, "0123456789abcdef", "2345ABCDEFGHIJKL"), F.lit(1), extra + 16))
-    iban = F.concat(F.substring(plain, 1, 2), _letters_like(F.concat(F.substring(plain, F.lit(3), size), F.repeat(F.lit("0"), extra)), digest))
+    country, body = F.substring(plain, 1, 2), _letters_like(F.concat(F.substring(plain, F.lit(5), size), F.repeat(F.lit("0"), extra)), digest)
+    iban = F.concat(country, _iban_check(country, body), body)
     cyrillic = plain.rlike(r"\p{IsCyrillic}")
-    names = []
+    families, givens = [], []
     for script in ("cyrillic", "latin"):
         given = F.when(gender == "m", _pick(_GIVEN["m", script], digest, 1)).when(gender == "f", _pick(_GIVEN["f", script], digest, 1)).otherwise(_pick(_GIVEN["n", script], digest, 1))
-        family = F.concat(*[_pick(_SYLLABLES[script], digest, at) for at in (2, 3, 4, 5)])
-        added = F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda i: _pick(_SYLLABLES[script], digest, i + 6))
-        family = F.concat(family, F.when(more > 0, F.array_join(added, "")).otherwise(F.lit("")))
-        both = F.when(plain.rlike("[ -]"), F.concat(given, F.lit(" "), family)).otherwise(F.concat(family, _pick(_SYLLABLES[script], digest, 6)))
-        names.append(F.lower(both))
-    name = F.when(cyrillic, names[0]).otherwise(names[1])
+        added = F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda i: _pick(_SYLLABLES[script], digest, i + 7))  # noqa: B023
+        added = F.when(more > 0, F.array_join(added, "")).otherwise(F.lit(""))
+        families.append(F.concat(*[_pick(_SYLLABLES[script], digest, at) for at in (2, 3, 4, 5, 6)], added))
+        givens.append(F.concat(F.lower(given), added))
     return (
         F.when(kind == "email", mail)
         .when(kind == "card", F.concat(card_body, _luhn(card_body)))
@@ -174,12 +204,13 @@ def surrogate(kind: F.Column, plain: F.Column, gender: F.Column, attempt: F.Colu
         .when(kind == "cloud_key", cloud)
         .when(kind == "secret", _letters_like(F.concat(plain, F.repeat(F.lit("a"), extra)), digest))
         .when(kind == "iban", iban)
-        .when(kind == "name", name)
+        .when(kind == "family", F.when(cyrillic, families[0]).otherwise(families[1]))
+        .when(kind == "given", F.when(cyrillic, givens[0]).otherwise(givens[1]))
         .otherwise(number)
     )
 
 
-def rendered(kind: F.Column, m: F.Column, stand_in: F.Column) -> F.Column:
+def rendered(kind: Column, m: Column, stand_in: Column) -> Column:
     """A stand-in in the layout of the match `m`."""
     poured = F.array_join(
         F.transform(
@@ -191,14 +222,14 @@ def rendered(kind: F.Column, m: F.Column, stand_in: F.Column) -> F.Column:
     grouped = F.when(F.contains(m, F.lit(" ")), F.trim(F.regexp_replace(stand_in, "(.{4})", "$1 "))).otherwise(stand_in)
     return (
         F.when(kind == "secret", F.concat(F.regexp_extract(m, _SECRET_LEAD, 1), stand_in))
-        .when(kind == "name", F.concat(F.regexp_extract(m, _NAME_LEAD, 1), F.initcap(stand_in)))
+        .when(kind.isin("given", "family"), F.initcap(stand_in))
         .when(kind == "iban", grouped)
         .when(kind.isin("email", "ip", "cloud_key"), stand_in)
         .otherwise(poured)
     )
 
 
-def matches(text: F.Column) -> F.Column:
+def matches(text: Column) -> Column:
     """All entities of a text in their order; the search runs only where the gate is met."""
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     return F.when(text.rlike(GATE), found).otherwise(F.array().cast("array<string>"))
@@ -206,15 +237,16 @@ def matches(text: F.Column) -> F.Column:
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
     """kind, plain, stand_in of distinct (kind, plain, gender): no two stand-ins of a kind are
-    equal and none is itself an entity. Whoever loses a clash takes its next digest; these get
-    longer (`surrogate`), so none is left over however full a type is."""
+    equal and none is itself an entity (but a given name, which only stands before a family name
+    that is none). Whoever loses a clash takes its next digest; these get longer (`surrogate`), so
+    none is left over however full a type is."""
     spark = entities.sparkSession
     waiting = entities.withColumn("attempt", F.lit(0))
     done: DataFrame | None = None
     for _ in count():
         tried = waiting.withColumn("stand_in", surrogate(F.col("kind"), F.col("plain"), F.col("gender"), F.col("attempt"), key))
         first = F.row_number().over(Window.partitionBy("kind", "stand_in").orderBy("plain"))
-        real = entities.select("kind", F.col("plain").alias("stand_in"), F.lit(True).alias("real"))
+        real = entities.where("kind != 'given'").select("kind", F.col("plain").alias("stand_in"), F.lit(True).alias("real"))
         tried = tried.withColumn("first", first).join(real, ["kind", "stand_in"], "left")
         if done is not None:
             tried = tried.join(done.select("kind", "stand_in", F.lit(True).alias("used")), ["kind", "stand_in"], "left")
@@ -231,33 +263,55 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         waiting = lost.select("kind", "plain", "gender", (F.col("attempt") + 1).alias("attempt"))
 
 
-def replace(docs: DataFrame, key: str = "loomgraph", text: str = "text") -> DataFrame:
-    """`docs` with every detected entity of `text` replaced, and n_entities (long) added.
+def key_of(spark: SparkSession) -> str:
+    """The key that the session is set up with."""
+    return spark.conf.get(KEY_SETTING, DEFAULT_KEY)
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """`name`, or as many underscores more as it takes to be none of `taken`, in any case."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
+def replace(docs: DataFrame, key: str | None = None, text: str = "text", counted: str | None = "n_entities") -> DataFrame:
+    """`docs` with every detected entity of `text` replaced, and their number in a new column
+    (long) named `counted`, with underscores added where `docs` has that name already.
 
-    All columns and rows stay (but columns of the names it adds or works with: n_entities and
-    __found, __digest, __shown, __new), and so does a null or empty text; rows without
-    entities are passed through untouched. Repeated rows are replaced alike. Only rows with
-    entities are shuffled, and only distinct entities are compared with each other.
+    All columns and rows stay, and so does a null or empty text; rows without entities are passed
+    through untouched. Repeated rows are replaced alike. An empty table gives an empty result. Very
+    long texts are searched whole: the patterns take a time in proportion to the text. Only rows with
+    entities are shuffled, and only distinct entities are compared with each other. `key` is
+    `key_of` the session unless it is given.
     """
-    found_name, digest_name = "__found", "__digest"
-    docs = docs.drop("n_entities", found_name, digest_name, "__shown", "__new")
-    marked = docs.withColumn(found_name, matches(text_or_empty(text)))
-    with_any = marked.where(F.size(found_name) > 0).withColumn(digest_name, F.sha2(F.col(text).cast("binary"), 256))
-    plain_rows = marked.where(F.size(found_name) == 0).drop(found_name).withColumn("n_entities", F.lit(0).cast("long"))
-
-    once = with_any.groupBy(digest_name).agg(F.first(found_name).alias("found"))
-    seen = once.select(digest_name, F.posexplode("found").alias("at", "m"))
-    seen = seen.withColumn("kind", type_of(F.col("m")))
-    seen = seen.select(digest_name, "at", "m", "kind", plain_form(F.col("kind"), F.col("m")).alias("plain"), gender_of(F.col("kind"), F.col("m")).alias("gender"))
-    occurrences = cut(seen, "entities")
-    known = occurrences.groupBy("kind", "plain").agg(F.coalesce(F.max(F.when(F.col("gender") != "n", F.col("gender"))), F.lit("n")).alias("gender"))
-    table = assign(cut(known, "entities"), key)
-    joined = occurrences.join(table, ["kind", "plain"])
-    shown = joined.select(digest_name, "at", rendered(F.col("kind"), F.col("m"), F.col("stand_in")).alias("shown"))
-    lists = shown.groupBy(digest_name).agg(F.sort_array(F.collect_list(F.struct("at", "shown"))).alias("__shown"))
-    back = with_any.join(lists, digest_name)
-    between = F.split(F.col(text), ANY, -1)
-    put = F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(F.get(F.col("__shown"), i)["shown"], F.lit("")))), "")
-    replaced = back.withColumn("n_entities", F.size(found_name).cast("long")).withColumn("__new", put)
-    columns = [F.col("__new").alias(c) if c == text else F.col(c) for c in docs.columns]
-    return plain_rows.select(*docs.columns, "n_entities").unionByName(replaced.select(*columns, "n_entities"))
+    key = key_of(docs.sparkSession) if key is None else key
+    names = list(docs.columns)
+    number = _free(counted or "n_entities", names)
+    found, digest, shown, new = (_free(c, [*names, number]) for c in ("__found", "__digest", "__shown", "__new"))
+    marked = docs.withColumn(found, matches(text_or_empty(text)))
+    with_any = marked.where(F.size(found) > 0).withColumn(digest, F.sha2(F.col(f"`{text}`").cast("binary"), 256))
+    plain_rows = marked.where(F.size(found) == 0).withColumn(number, F.lit(0).cast("long"))
+
+    once = with_any.groupBy(F.col(digest).alias("digest")).agg(F.first(found).alias("found"))
+    seen = once.select("digest", F.posexplode("found").alias("at", "m")).withColumn("of", type_of(F.col("m")))
+    seen = seen.withColumn("gender", gender_of(F.col("of"), F.col("m"))).select("digest", "at", "gender", F.posexplode(tokens_of(F.col("of"), F.col("m"))).alias("part", "token"))
+    seen = seen.select("digest", "at", "part", "gender", "token.*")
+    seen = seen.withColumn("plain", F.when(F.col("kind").isin("given", "family"), F.lower("m")).otherwise(plain_form(F.col("kind"), F.col("m"))))
+    occurrences = cut(seen.withColumn("entity", F.concat_ws("\x1f", "kind", "plain")), "entities")
+    gender = F.when(F.col("kind") == "given", F.coalesce(F.max(F.when(F.col("gender") != "n", F.col("gender"))), F.lit("n"))).otherwise(F.lit("n"))
+    known = cut(occurrences.groupBy("kind", "plain", "entity").agg(gender.alias("gender"), F.count(F.lit(1)).alias("rows")), "known")
+    table = assign(known.select("kind", "plain", "gender"), key).join(known, ["kind", "plain"]).select("entity", "rows", "stand_in")
+    joined = join_often(occurrences, cut(table, "stand-ins"), "entity")
+    pieces = joined.select("digest", "at", "part", F.concat("lead", rendered(F.col("kind"), F.col("m"), F.col("stand_in"))).alias("piece"))
+    whole = pieces.groupBy("digest", "at").agg(F.sort_array(F.collect_list(F.struct("part", "piece"))).alias("pieces"))
+    whole = whole.select("digest", "at", F.array_join("pieces.piece", "").alias("shown"))
+    lists = whole.groupBy(F.col("digest").alias(digest)).agg(F.sort_array(F.collect_list(F.struct("at", "shown"))).alias(shown))
+    back = with_any.join(lists, digest)
+    between = F.split(F.col(f"`{text}`"), ANY, -1)
+    put = F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(F.get(F.col(shown), i)["shown"], F.lit("")))), "")
+    replaced = back.withColumn(number, F.size(found).cast("long")).withColumn(new, put)
+    more = [number] if counted else []
+    columns = [F.col(new).alias(c) if c == text else F.col(f"`{c}`") for c in names]
+    return plain_rows.select(*[f"`{c}`" for c in names], *more).unionByName(replaced.select(*columns, *more))
