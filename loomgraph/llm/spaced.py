@@ -7,8 +7,9 @@ benchmark windows and of document windows are joined; at each hit both texts are
 aligned at the same offset, and the overlap counts where it is long enough and most of
 its words agree.
 
-The benchmark is the stated query set. It is taken in blocks of bounded size, each
-held against all documents, so a task never holds more than one block.
+The benchmark is the stated query set. It is taken in blocks of a bounded number of
+words, each held against all documents and released before the next is sent, so neither
+the driver nor a task ever holds more than one block.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import cut, text_or_empty
 
 #: Words of an overlap at least (or the whole item, if it is shorter), and the share that agrees.
 LEAST_WORDS, AGREE = 13, 0.8
-#: Items of a block of the query set.
-BLOCK = 20_000
+#: Words that an item has at least; shorter ones (a bare "yes") are in texts of any kind and overlap nothing.
+SHORTEST = 5
+#: Words of a block of the query set (an item longer than that is a block of its own).
+BLOCK_WORDS = 1 << 20
 
 _WORD = re.compile(r"[^\W_]+")
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -116,57 +119,91 @@ class Block:
         for mask, ks in by_mask.items():
             parts = [(seed_hashes(items[k][1], mask), k) for k in ks]
             value = np.concatenate([v for v, _ in parts])
-            item = np.concatenate([np.full(len(v), k) for v, k in parts])
-            place = np.concatenate([np.arange(len(v)) for v, _ in parts])
+            item = np.concatenate([np.full(len(v), k, dtype=np.int32) for v, k in parts])
+            place = np.concatenate([np.arange(len(v), dtype=np.int32) for v, _ in parts])
             order = np.argsort(value, kind="stable")
             bits = np.zeros(1 << _BITS, dtype=bool)
             bits[(value >> np.uint64(64 - _BITS)).astype(np.int64)] = True
             self.tables.append((mask, value[order], item[order], place[order], bits))
 
-    def hits(self, h: np.ndarray) -> set[tuple[int, int]]:
-        """(item, offset of the item's start in the document) of all hash matches."""
-        found: set[tuple[int, int]] = set()
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """item, offset of the item's start in the document: the distinct ones of all hash matches."""
+        items, offsets = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for mask, value, item, place, bits in self.tables:
             v = seed_hashes(h, mask)
             maybe = np.flatnonzero(bits[(v >> np.uint64(64 - _BITS)).astype(np.int64)])
             low, high = np.searchsorted(value, v[maybe], "left"), np.searchsorted(value, v[maybe], "right")
-            for k in np.flatnonzero(high > low):
-                found.update((int(item[j]), int(maybe[k] - place[j])) for j in range(low[k], high[k]))
-        return found
-
-    def overlaps(self, h: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item_id, start, words, agreeing) of each verified overlap, one per item and offset."""
-        out = []
-        for k, offset in sorted(self.hits(h)):
+            some = high > low
+            if some.any():
+                n = (high - low)[some]
+                at = np.repeat(low[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                items.append(item[at].astype(np.int64))
+                offsets.append(np.repeat(maybe[some], n) - place[at])
+        if len(items) == 1:
+            return items[0], offsets[0]
+        pairs = np.unique(np.stack([np.concatenate(items), np.concatenate(offsets)], axis=1), axis=0)
+        return pairs[:, 0], pairs[:, 1]
+
+    def overlaps(self, h: np.ndarray, first: bool = False) -> list[tuple[int, int, int, int]]:
+        """(item_id, start, words, agreeing) of the longest verified overlap (the first of equal ones)
+        of each item; with `first` no more than one."""
+        out: dict[int, tuple[int, int, int, int]] = {}
+        for k, offset in zip(*(x.tolist() for x in self.hits(h)), strict=True):
             item_id, item = self.items[k]
+            if k in out and out[k][2] == len(item):
+                continue
             words, start, same = overlap(h, item, offset, self.agree)
-            if words >= min(self.least, len(item)) and words:
-                out.append((item_id, start, words, same))
-        return out
+            if words and words >= min(self.least, len(item)) and (k not in out or words > out[k][2]):
+                out[k] = (item_id, start, words, same)
+                if first:
+                    break
+        return list(out.values())
 
 
-def blocks_of(benchmark: DataFrame, least: int = LEAST_WORDS, agree: float = AGREE, block: int = BLOCK) -> Iterator[Block]:
-    """The query set in blocks of at most `block` items, read one after the other."""
+def blocks_of(benchmark: DataFrame, least: int = LEAST_WORDS, agree: float = AGREE, words: int = BLOCK_WORDS, shortest: int = SHORTEST) -> Iterator[Block]:
+    """The query set in blocks of about `words` words, read one after the other."""
     hasher = Hasher()
     rows: list[tuple[int, np.ndarray]] = []
+    held = 0
     for r in benchmark.select("item_id", text_or_empty().alias("text")).toLocalIterator(prefetchPartitions=False):
-        rows.append((r["item_id"], hasher.of(words_of(r["text"]))))
-        if len(rows) >= block:
+        h = hasher.of(words_of(r["text"]))
+        if len(h) < shortest:
+            continue
+        if rows and held + len(h) > words:
             yield Block(rows, least, agree)
-            rows = []
+            rows, held = [], 0
+        rows.append((r["item_id"], h))
+        held += len(h)
     if rows:
         yield Block(rows, least, agree)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_WORDS, agree: float = AGREE, block: int = BLOCK) -> DataFrame:
-    """doc_id, item_id, start, n_words, n_same: one row per overlap of a document with a benchmark item.
-
-    start is the word of the document where the overlap begins, n_words its length
-    (at least `least`, or the whole item if that is shorter), n_same the words that
-    agree. Words are runs of letters and digits in lower case. Null or empty texts on
-    either side overlap nothing, nor does an empty table; repeated documents give
-    repeated rows. Other columns are not read. Narrow; the documents are read once for
-    each block of the query set.
+def _each_block(benchmark: DataFrame, step, **options) -> None:
+    """`step(block as a broadcast, whether it is the only one)`, one block after the other; those
+    but a single one are released when their step is done."""
+    blocks = blocks_of(benchmark, **options)
+    now = next(blocks, None)
+    alone = True
+    while now is not None:
+        following = next(blocks, None)
+        alone = alone and following is None
+        sent = benchmark.sparkSession.sparkContext.broadcast(now)
+        step(sent, alone)
+        if not alone:
+            sent.destroy()
+        now = following
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """doc_id, item_id, start, n_words, n_same: one row for each document and benchmark item that overlap.
+
+    The overlap is the longest one: start is the word of the document where it begins, n_words its length
+    (at least `least`, or the whole item if that is shorter), n_same the words that agree, a share of
+    `agree` at least; of equal ones the item's least offset counts. Words are runs of letters and digits
+    in lower case. Items of fewer than `shortest` words, null and empty texts on either side overlap
+    nothing, nor does an empty table; repeated documents or items give repeated rows; a very long text is
+    taken whole. Other columns are not read. Narrow; the documents are read once for each block of
+    `words` words of the query set.
     """
     spark = docs.sparkSession
     source = docs.select("doc_id", text_or_empty().alias("text"))
@@ -176,11 +213,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_WORDS
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    found = None
-    for one in blocks_of(benchmark, least, agree, block):
-        sent = spark.sparkContext.broadcast(one)
+    parts: list[DataFrame] = []
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+    def step(sent, alone: bool) -> None:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hasher, held = _hasher(), sent.value
             for batch in batches:
                 ids, out = batch.column(0), []
@@ -194,8 +230,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_WORDS
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
         part = source.mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
-    return spark.createDataFrame([], schema) if found is None else found
+        parts.append(part if alone else cut(part, "overlaps"))
+
+    _each_block(benchmark, step, **options)
+    found = parts[0] if parts else spark.createDataFrame([], schema)
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
 
 
 _HASHER: list[Hasher] = []
@@ -208,30 +249,35 @@ def _hasher() -> Hasher:
 
 
 def flags(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """doc_id, n_items, n_words (of the longest overlap): one row per contaminated doc_id."""
+    """doc_id, n_items, n_words (of the longest overlap): one row per contaminated doc_id, over all its
+    rows; a null doc_id is one, too. Empty, null and long texts are as in `contaminated`."""
     return contaminated(docs, benchmark, **options).groupBy("doc_id").agg(
         F.countDistinct("item_id").alias("n_items"), F.max("n_words").alias("n_words")
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_WORDS, agree: float = AGREE, block: int = BLOCK) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of `docs` without an overlap as in `contaminated`, all columns as they are.
 
-    Narrow: a row is dropped where it lies, block after block of the query set."""
+    Narrow: a row is dropped where it lies, block after block of the query set; with several
+    blocks the rows left are written down between them. Null and empty texts stay, repeated rows
+    go or stay together, an empty table on either side drops nothing."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    spark, kept = docs.sparkSession, docs
+    kept = [docs]
     arrow, at_text = to_arrow_schema(docs.schema), docs.columns.index("text")
-    for one in blocks_of(benchmark, least, agree, block):
-        sent = spark.sparkContext.broadcast(one)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+    def step(sent, alone: bool) -> None:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hasher, held = _hasher(), sent.value
             for batch in batches:
                 for at in range(0, batch.num_rows, 1000):
                     part = batch.slice(at, 1000)
-                    free = [not held.overlaps(hasher.of(words_of(t or ""))) for t in part.column(at_text).to_pylist()]
+                    free = [not held.overlaps(hasher.of(words_of(t or "")), first=True) for t in part.column(at_text).to_pylist()]
                     yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(part.filter(pa.array(free)).columns, arrow, strict=True)], schema=arrow)
 
-        kept = kept.mapInArrow(run, docs.schema)
-    return kept
+        left = kept[0].mapInArrow(run, docs.schema)
+        kept[0] = left if alone else cut(left, "without-overlaps")
+
+    _each_block(benchmark, step, **options)
+    return kept[0]
