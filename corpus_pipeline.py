@@ -29,8 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
-    found = cut(simhash.similar_documents(docs, SHINGLE, similarity=SIMILARITY), "near-duplicates")
-    return simhash.keep_first(docs, found)
+    return simhash.keep_similar(docs, shingle=SHINGLE, similarity=SIMILARITY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +39,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates for personal data; n_chars is counted anew."""
-    replaced = surrogates.replace(docs).drop("n_entities")
-    return replaced.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return surrogates.replace(docs, counted=None).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
