@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import operators as ops
-from .session import Session
+from .plans.writer import open_session
+from .session import Session, scratch_folder
 from .sources.graph import Graph
-from .sources.tables import table_graph
+from .sources.tables import read, table_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +23,8 @@ _PATHS = """WITH RECURSIVE step AS (SELECT event_id AS a, lead(event_id) OVER (P
 _STATES = """states AS (SELECT user_id, event_type, value, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq,
  count(*) OVER (PARTITION BY user_id) AS n, min(ts) OVER (PARTITION BY user_id) AS created FROM events)"""
 _AT, _FROM, _TO = "2024-01-15T00:00:00", "2024-01-05T00:00:00", "2024-01-12T00:00:00"
+#: _AT as a number, the time of reading queries (1997), and their parameters.
+_AT_MS, _NOW_MS, _PARAMETERS = 1_705_276_800_000, 852_076_800_000, {"least": 5000, "segment": "BUILDING"}
 
 #: name: (query text, SQL). Columns have the same names on both sides.
 TEXTS: dict[str, tuple[str, str]] = {
@@ -141,10 +145,29 @@ TEXTS: dict[str, tuple[str, str]] = {
     "paths_exactly_2": ("MATCH (e:Event {event_type: 'signup'})-[:NEXT*2]->(f) RETURN id(e) AS a, id(f) AS b", _PATHS.format(least=2, most=2)),
     "paths_long": ("MATCH (e:Event {event_type: 'signup'})-[:NEXT*4..6]->(f) RETURN id(e) AS a, id(f) AS b", _PATHS.format(least=4, most=6)),
     "paths_undirected": (
-        "MATCH (s:Supplier {s_suppkey: 3})-[:SUPPLIES*1..2]-(x) RETURN labels(x) AS kinds, id(x) AS x, count(*) AS paths",
+        "MATCH (s:Supplier)-[:SUPPLIES*1..2]-(x) RETURN labels(x) AS kinds, id(x) AS x, count(*) AS paths",
         """WITH s AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem)
-           SELECT ['Part'] AS kinds, p AS x, count(*) AS paths FROM s WHERE s = 3 GROUP BY p
-           UNION ALL SELECT ['Supplier'], b.s, count(*) FROM s a JOIN s b ON a.p = b.p AND b.s <> 3 WHERE a.s = 3 GROUP BY b.s""",
+           SELECT ['Part'] AS kinds, p AS x, count(*) AS paths FROM s GROUP BY p
+           UNION ALL SELECT ['Supplier'], b.s, count(*) FROM s a JOIN s b ON a.p = b.p AND b.s <> a.s GROUP BY b.s""",
+    ),
+    "paths_open_above": ("MATCH (e:Event {event_type: 'signup'})-[:NEXT*9..]->(f) RETURN id(e) AS a, id(f) AS b", _PATHS.format(least=9, most=10)),
+    "paths_open_below": ("MATCH (e:Event {event_type: 'signup'})-[:NEXT*..2]->(f) RETURN id(e) AS a, id(f) AS b", _PATHS.format(least=1, most=2)),
+    "collect_unwind": (
+        "MATCH (n:Nation)-[:IN_REGION]->(r:Region) WITH r.r_name AS region, collect(n.n_name) AS names UNWIND names AS name RETURN region, name",
+        "SELECT r_name AS region, n_name AS name FROM nation JOIN region ON r_regionkey = n_regionkey",
+    ),
+    "return_distinct_aggregate": (
+        "MATCH (c:Customer) RETURN DISTINCT c.c_mktsegment AS segment, count(DISTINCT c.c_nationkey) AS nations",
+        "SELECT c_mktsegment AS segment, count(DISTINCT c_nationkey) AS nations FROM customer GROUP BY 1",
+    ),
+    "now_function": ("MATCH (o:Order) WHERE o.o_orderdate < now() RETURN count(*) AS n", "SELECT count(*) AS n FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'"),
+    "parameters": (
+        "MATCH (c:Customer) WHERE c.c_acctbal > $least AND c.c_mktsegment = $segment AND NOT c.c_name = $missing RETURN id(c) AS c",
+        "SELECT c_custkey AS c FROM customer WHERE c_acctbal > 5000 AND c_mktsegment = 'BUILDING'",
+    ),
+    "nodes_at_milliseconds": (
+        f"MATCH (u:User) AT TIME {_AT_MS} RETURN id(u) AS u, u.event_type AS state",
+        f"WITH {_STATES} SELECT user_id AS u, event_type AS state FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS k FROM states WHERE ts <= TIMESTAMP '{_AT}') WHERE k = 1",
     ),
     "edges_at_time": (
         "MATCH (c:Customer)-[:PLACED]->(o:Order) AT TIME datetime('1995-06-01') RETURN id(c) AS c, id(o) AS o",
@@ -175,7 +198,7 @@ TEXTS: dict[str, tuple[str, str]] = {
 }
 
 def _text_query(text: str) -> Query:
-    return lambda spark, sf_dir: Session(table_graph(spark, sf_dir)).execute(text, now_ms=0).df
+    return lambda spark, sf_dir: Session(table_graph(spark, sf_dir)).execute(text, _PARAMETERS, now_ms=_NOW_MS).df
 
 
 def _operator(fn: Callable[[Graph], DataFrame]) -> Query:
@@ -189,12 +212,120 @@ def _temporal_reference(g: Graph) -> DataFrame:
     return ops.reference_states(current, g.version_scan(("User",), {"event_type", "_updated_at"}), refs).select(F.col("_id").alias("u"), F.col("event_type").alias("state"))
 
 
-def _merge_split(g: Graph) -> DataFrame:
-    """Keys of a batch that MERGE would match, and those it would create."""
-    keys = g.spark.range(-5, 40).select(F.col("id").alias("k"))
-    known = g.node_scan(("Nation",), {"n_nationkey"}).select(F.col("n_nationkey").alias("k"))
-    matched = keys.join(known, "k", "left_semi").select("k", F.lit("match").alias("what"))
-    return matched.unionByName(keys.join(known, "k", "left_anti").select("k", F.lit("create").alias("what")))
+#: Tables that a writing query loads into its store: nodes by their label, then edges.
+_NODES = {"Region": ("region", "r_regionkey"), "Nation": ("nation", "n_nationkey"), "Customer": ("customer", "c_custkey"), "Order": ("orders", "o_orderkey"), "Part": ("part", "p_partkey")}
+_EDGES = {
+    "IN_REGION": ("nation", "n_nationkey", "n_regionkey", "Nation", "Region"), "IN_NATION": ("customer", "c_custkey", "c_nationkey", "Customer", "Nation"),
+    "PLACED": ("orders", "o_custkey", "o_orderkey", "Customer", "Order"),
+}
+
+#: name: (labels and types loaded at time 1000, statements run one after the other from time 2000
+#: on, a thousand apart, query whose rows are the result, SQL). Ids of the kinds overlap.
+WRITES: dict[str, tuple[str, tuple[str, ...], str, str]] = {
+    "create_nodes_and_edges": (
+        "Customer", ("MATCH (c:Customer) WHERE c.c_acctbal < 0 CREATE (d:Debt {amount: 0 - c.c_acctbal, note: null})-[:OWED_BY {since: 5}]->(c)",),
+        "MATCH (d:Debt)-[r:OWED_BY]->(c:Customer) RETURN id(c) AS c, d.amount AS amount, r.since AS since",
+        "SELECT c_custkey AS c, 0 - c_acctbal AS amount, CAST(5 AS BIGINT) AS since FROM customer WHERE c_acctbal < 0",
+    ),
+    "create_against_direction": (
+        "Region Nation", ("MATCH (n:Nation), (r:Region) WHERE n.n_regionkey = r.r_regionkey CREATE (n)<-[:HOLDS]-(r)",),
+        "MATCH (r:Region)-[:HOLDS]->(n:Nation) RETURN r.r_name AS region, n.n_name AS nation",
+        "SELECT r_name AS region, n_name AS nation FROM nation JOIN region ON r_regionkey = n_regionkey",
+    ),
+    "set_properties": (
+        "Region Nation", ("MATCH (n:Nation) WHERE n.n_regionkey = 1 SET n.n_name = 'renamed', n.mark = n.n_nationkey * 2", "MATCH (n:Nation) WHERE n.n_regionkey = 2 SET n.n_name = null"),
+        "MATCH (x) RETURN x.n_name AS nation, x.r_name AS region, x.mark AS mark",
+        """SELECT CASE n_regionkey WHEN 1 THEN 'renamed' WHEN 2 THEN NULL ELSE n_name END AS nation, CAST(NULL AS VARCHAR) AS region,
+           CASE WHEN n_regionkey = 1 THEN CAST(n_nationkey * 2 AS BIGINT) END AS mark FROM nation UNION ALL SELECT NULL, r_name, NULL FROM region""",
+    ),
+    "set_edge_properties": (
+        "Nation Customer IN_NATION", ("MATCH (c:Customer)-[r:IN_NATION]->(n:Nation) WHERE n.n_regionkey = 2 SET r.weight = c.c_acctbal",),
+        "MATCH (c:Customer)-[r:IN_NATION]->(n) RETURN id(c) AS c, r.weight AS weight",
+        "SELECT c_custkey AS c, CASE WHEN n_regionkey = 2 THEN c_acctbal END AS weight FROM customer JOIN nation ON n_nationkey = c_nationkey",
+    ),
+    "versions_of_set": (
+        "Nation", ("MATCH (n:Nation) WHERE n.n_regionkey = 1 SET n.n_name = 'first'", "MATCH (n:Nation) WHERE n.n_regionkey < 2 SET n.n_name = 'second'"),
+        "MATCH (n:Nation) BETWEEN TIME 1500 AND 3500 RETURN id(n) AS n, n.n_name AS name",
+        "SELECT CAST(n_nationkey AS BIGINT) AS n, 'first' AS name FROM nation WHERE n_regionkey = 1 UNION ALL SELECT n_nationkey, 'second' FROM nation WHERE n_regionkey < 2",
+    ),
+    "states_before_set": (
+        "Nation", ("MATCH (n:Nation) WHERE n.n_regionkey = 1 SET n.n_name = 'later'", "MATCH (n:Nation) SET n.n_name = 'last'"),
+        "MATCH (n:Nation) AT TIME 2999 RETURN id(n) AS n, n.n_name AS name",
+        "SELECT CAST(n_nationkey AS BIGINT) AS n, CASE WHEN n_regionkey = 1 THEN 'later' ELSE n_name END AS name FROM nation",
+    ),
+    "remove_property": (
+        "Customer", ("MATCH (c:Customer) WHERE c.c_mktsegment = 'BUILDING' REMOVE c.c_acctbal",), "MATCH (c:Customer) RETURN id(c) AS c, c.c_acctbal AS balance",
+        "SELECT c_custkey AS c, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_acctbal END AS balance FROM customer",
+    ),
+    "remove_label": (
+        "Nation", ("MATCH (n:Nation) CREATE (p:Place:Land {k: n.n_nationkey})", "MATCH (p:Land) WHERE p.k < 10 REMOVE p:Land"),
+        "MATCH (p:Place) UNWIND labels(p) AS label RETURN p.k AS k, label",
+        "SELECT CAST(n_nationkey AS BIGINT) AS k, 'Place' AS label FROM nation UNION ALL SELECT n_nationkey, 'Land' FROM nation WHERE n_nationkey >= 10",
+    ),
+    "delete_edges": (
+        "Customer Order PLACED", ("MATCH (c:Customer)-[r:PLACED]->(o:Order) WHERE o.o_totalprice > 200000 DELETE r",), "MATCH (c:Customer)-[r:PLACED]->(o) RETURN id(c) AS c, id(o) AS o",
+        "SELECT o_custkey AS c, o_orderkey AS o FROM orders WHERE NOT o_totalprice > 200000",
+    ),
+    "delete_nodes": (
+        "Customer Region", ("MATCH (c:Customer) WHERE c.c_acctbal < 1000 DELETE c",), "MATCH (x) RETURN id(x) AS x, x.r_name AS region",
+        "SELECT c_custkey AS x, CAST(NULL AS VARCHAR) AS region FROM customer WHERE NOT c_acctbal < 1000 UNION ALL SELECT r_regionkey, r_name FROM region",
+    ),
+    "detach_delete": (
+        "Region Nation Customer IN_REGION IN_NATION", ("MATCH (n:Nation) WHERE n.n_regionkey = 3 DETACH DELETE n",), "MATCH (a)-[r]->(b) RETURN type(r) AS kind, id(a) AS a, id(b) AS b",
+        """SELECT 'IN_REGION' AS kind, CAST(n_nationkey AS BIGINT) AS a, CAST(n_regionkey AS BIGINT) AS b FROM nation WHERE n_regionkey <> 3
+           UNION ALL SELECT 'IN_NATION', c_custkey, c_nationkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey <> 3""",
+    ),
+    "merge_nodes": (
+        "Nation Order", ("MATCH (o:Order) MERGE (n:Nation {n_nationkey: o.o_custkey % 40}) ON CREATE SET n.made = true ON MATCH SET n.seen = true",),
+        "MATCH (n:Nation) RETURN n.n_nationkey AS k, n.made AS made, n.seen AS seen",
+        """WITH keys AS (SELECT DISTINCT CAST(o_custkey % 40 AS BIGINT) AS k FROM orders), old AS (SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation)
+           SELECT coalesce(keys.k, old.k) AS k, CASE WHEN old.k IS NULL THEN true END AS made, CASE WHEN old.k IS NOT NULL AND keys.k IS NOT NULL THEN true END AS seen
+           FROM keys FULL JOIN old ON keys.k = old.k""",
+    ),
+    "merge_edges": (
+        "Nation Customer Order IN_NATION PLACED",
+        ("MATCH (c:Customer)-[:PLACED]->(o:Order) MATCH (c)-[:IN_NATION]->(n:Nation) MERGE (n)-[r:SERVES]->(c) ON CREATE SET r.made = 1",) * 2,
+        "MATCH (n:Nation)-[r:SERVES]->(c) RETURN n.n_name AS nation, id(c) AS c, r.made AS made",
+        "SELECT n_name AS nation, c_custkey AS c, CAST(1 AS BIGINT) AS made FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey IN (SELECT o_custkey FROM orders)",
+    ),
+    "merge_any": (
+        "Region Nation", ("MATCH (n:Nation) MERGE (r:Region) MERGE (n)-[:NEAR]->(r)",), "MATCH (n:Nation)-[:NEAR]->(r:Region) RETURN id(n) AS n, id(r) AS r",
+        "SELECT CAST(n_nationkey AS BIGINT) AS n, (SELECT CAST(min(r_regionkey) AS BIGINT) FROM region) AS r FROM nation",
+    ),
+    "create_index": (
+        "Part Customer Order PLACED", ("CREATE INDEX by_size ON :Part(p_size)", "CREATE INDEX ON :Part(p_brand)", "MATCH (p:Part) WHERE p.p_size > 45 SET p.p_size = 10", "DROP INDEX by_size"),
+        "MATCH (p:Part) WHERE p.p_size = 10 RETURN id(p) AS p, p.p_brand AS brand", "SELECT p_partkey AS p, p_brand AS brand FROM part WHERE p_size = 10 OR p_size > 45",
+    ),
+    "create_snapshot": (
+        "Customer", ("CREATE SNAPSHOT (s:Snap {name: 'rich'}) FROM MATCH (c:Customer) WHERE c.c_acctbal > 5000 RETURN c", "MATCH (c:Customer) WHERE c.c_acctbal > 9000 SET c.c_acctbal = 0"),
+        "MATCH (s:Subgraph {name: 'rich'})-[:CONTAINS]->(c) RETURN id(c) AS c", "SELECT c_custkey AS c FROM customer WHERE c_acctbal > 5000",
+    ),
+    "create_hyperedge": (
+        "Region Nation", ("MATCH (r:Region {r_regionkey: 2}), (n:Nation {n_nationkey: 7}) CREATE HYPEREDGE (h:Treaty) FROM (r) TO (n)",),
+        "MATCH HYPEREDGE (h:Treaty) MATCH (h)-[:INVOLVES]->(x) RETURN x.r_name AS region, x.n_name AS nation",
+        "SELECT r_name AS region, CAST(NULL AS VARCHAR) AS nation FROM region WHERE r_regionkey = 2 UNION ALL SELECT NULL, n_name FROM nation WHERE n_nationkey = 7",
+    ),
+}
+
+
+def _write_query(loaded: str, statements: tuple[str, ...], result: str) -> Query:
+    """A store of its own under the shared folder, filled, changed, and read."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        db = open_session(spark, f"{scratch_folder(spark)}/store-{uuid.uuid4().hex}")
+        for name in loaded.split():
+            if name in _NODES:
+                table, key = _NODES[name]
+                db.store.load_nodes(name, read(spark, sf_dir, table), key, now_ms=1000)
+            else:
+                table, src, dst, a, b = _EDGES[name]
+                ends = read(spark, sf_dir, table).select(F.col(src).cast("long").alias("_src"), F.col(dst).cast("long").alias("_dst"))
+                db.store.load_edges(name, ends, a, b, now_ms=1000)
+        for k, text in enumerate(statements):
+            db.execute(text, now_ms=2000 + 1000 * k)
+        return db.execute(result, now_ms=2000 + 1000 * len(statements)).df
+
+    return run
 
 
 #: name: (operator over the graph, SQL).
@@ -224,35 +355,36 @@ OPERATORS: dict[str, tuple[Callable[[Graph], DataFrame], str]] = {
         f"""WITH {_STATES}, old AS (SELECT user_id, max_by(event_type, seq) AS state FROM states WHERE seq < n AND ts <= TIMESTAMP '{_AT}' GROUP BY user_id)
             SELECT s.user_id AS u, coalesce(old.state, s.event_type) AS state FROM states s LEFT JOIN old USING (user_id) WHERE seq = n""",
     ),
-    "merge_split": (
-        _merge_split,
-        "SELECT k, CASE WHEN k IN (SELECT n_nationkey FROM nation) THEN 'match' ELSE 'create' END AS what FROM range(-5, 40) r(k)",
+    "find_edge": (
+        lambda g: ops.find_edge(g, ("Nation", 5), ("Region", 0), "IN_REGION").select(F.col("_src").alias("nation"), F.col("_dst").alias("region")),
+        "SELECT CAST(n_nationkey AS BIGINT) AS nation, CAST(n_regionkey AS BIGINT) AS region FROM nation WHERE n_nationkey = 5 AND n_regionkey = 0",
     ),
     "edges_of_a_node": (
-        lambda g: g.edge_scan(("SUPPLIES",), set()).where((F.col("_src") == 3) | (F.col("_dst") == 3)).select(F.col("_src").alias("s"), F.col("_dst").alias("p")),
-        "SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_suppkey = 3 OR l_partkey = 3",
+        lambda g: ops.edges_of(g, "Supplier", 3, ("SUPPLIES",), set()).select(F.col("_src").alias("s"), F.col("_dst").alias("p")),
+        "SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_suppkey = 3",
     ),
     "version_counts": (
-        lambda g: g.version_scan(("User",), set()).groupBy(F.col("_id").alias("u")).agg(F.count(F.lit(1)).alias("n"), F.max("_seq").alias("latest")),
+        lambda g: ops.version_counts(g, "User").withColumnRenamed("_id", "u"),
         "SELECT user_id AS u, count(*) - 1 AS n, count(*) - 1 AS latest FROM events GROUP BY 1 HAVING count(*) > 1",
     ),
     "subgraphs_of_a_node": (
-        lambda g: g.member_scan().where((F.col("node_kind") == "Nation") & (F.col("node_id") == 5)).select(F.col("subgraph_id").alias("g")),
+        lambda g: ops.subgraphs_of(g, "Nation", 5).withColumnRenamed("subgraph_id", "g"),
         "SELECT CAST(n_regionkey AS BIGINT) AS g FROM nation WHERE n_nationkey = 5",
     ),
     "hyperedges_of_an_entity": (
-        lambda g: ops.participants(g.hyperedge_scan(("SALE",))).where(F.col("kind") == "Part").groupBy(F.col("id").alias("p")).agg(F.count(F.lit(1)).alias("n")),
+        lambda g: ops.hyperedge_counts(g, ("SALE",), "Part").withColumnRenamed("id", "p"),
         "SELECT l_partkey AS p, count(*) AS n FROM lineitem GROUP BY 1",
     ),
 }
 
 
 def queries() -> dict[str, Query]:
-    return {n: _text_query(text) for n, (text, _) in TEXTS.items()} | {n: _operator(f) for n, (f, _) in OPERATORS.items()}
+    reading = {n: _text_query(text) for n, (text, _) in TEXTS.items()} | {n: _operator(f) for n, (f, _) in OPERATORS.items()}
+    return reading | {n: _write_query(*w[:3]) for n, w in WRITES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: sql for n, (_, sql) in (*TEXTS.items(), *OPERATORS.items())}
+    return {n: sql for n, (*_, sql) in (*TEXTS.items(), *OPERATORS.items(), *WRITES.items())}
 
 
 def entry(spark: SparkSession) -> DataFrame:

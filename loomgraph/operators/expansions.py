@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.graph import EDGE_COLUMNS
+from ..sources.graph import EDGE_COLUMNS, Graph
 
 #: Hops after which a frontier is written down, so that later hops don't repeat earlier ones.
 HOPS_AT_ONCE = 4
@@ -97,5 +97,11 @@ def participants(hyperedges: DataFrame) -> DataFrame:
     return sides[0].unionByName(sides[1]).select("_id", "role", "place", "p.kind", "p.id", "p.ts")
 
 
+def hyperedge_counts(graph: Graph, types: tuple[str, ...], kind: str) -> DataFrame:
+    """id, n: the places that entities of a kind take in hyperedges of any of the types."""
+    found = participants(graph.hyperedge_scan(types)).where(F.col("kind") == kind)
+    return found.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def edge_columns(edges: DataFrame) -> list[str]:
     return [c for c in edges.columns if c not in EDGE_COLUMNS]

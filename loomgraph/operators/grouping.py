@@ -1,4 +1,4 @@
-"""Grouping, duplicates, order and unwinding."""
+"""Order and limits."""
 
 from __future__ import annotations
 
@@ -6,17 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def aggregate(rows: DataFrame, keys: dict[str, F.Column], values: dict[str, F.Column]) -> DataFrame:
-    """Groups by `keys` (name to column; null is a key) with aggregate `values`; without
-    keys one row, also for no rows."""
-    named = [c.alias(n) for n, c in keys.items()]
-    return rows.groupBy(*named).agg(*[c.alias(n) for n, c in values.items()])
-
-
-def distinct(rows: DataFrame) -> DataFrame:
-    return rows.distinct()
-
-
 def sort_limit(rows: DataFrame, order: list[tuple[F.Column, bool]], skip: int | None = None, limit: int | None = None) -> DataFrame:
     """Sorted (column, descending), null first ascending and last descending, then cut."""
     if order:
@@ -24,8 +13,3 @@ def sort_limit(rows: DataFrame, order: list[tuple[F.Column, bool]], skip: int |
     if skip:
         rows = rows.offset(skip)
     return rows if limit is None else rows.limit(limit)
-
-
-def unwind(rows: DataFrame, values: F.Column, name: str) -> DataFrame:
-    """One row for each element of a list; none for null or an empty list."""
-    return rows.select("*", F.explode(values).alias(name))

@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import expressions as x
 from ..lang import tree as t
@@ -31,6 +32,7 @@ class StoreSession(Session):
 
     def __init__(self, store: LoomStore, options: Options | None = None, track_times: bool = True, keep_versions: bool = True):
         self.store, self.change = store, None
+        self.waiting: list = []  # hooks of an open transaction, which run after its commit
         self.track_times, self.keep_versions = track_times, keep_versions
         super().__init__(Graph(store.spark), options)
 
@@ -55,8 +57,11 @@ class StoreSession(Session):
             if not own:  # the statement leaves no trace in its transaction
                 change.manifest, change._graph = before, None
             raise
-        for hook, changes in writer.after:
-            hook(changes)
+        if own:
+            for hook, changes in writer.after:
+                hook(changes)
+        else:
+            self.waiting += writer.after
         return Result(frame.df if frame.names else self.spark.createDataFrame([], "none string").select(), frame.names)
 
 
@@ -65,8 +70,7 @@ class Transaction:
 
     def __init__(self, session: StoreSession):
         self.session = session
-        session.change = session.store.begin()
-        self.first = session.change.manifest
+        session.change, session.waiting = session.store.begin(), []
 
     def execute(self, text: str, params: dict | None = None, now_ms: int | None = None) -> Result:
         if self.session.change is None:
@@ -78,9 +82,12 @@ class Transaction:
         if change is None:
             raise ExecutionError("the transaction has ended")
         change.commit()
+        waiting, self.session.waiting = self.session.waiting, []
+        for hook, changes in waiting:
+            hook(changes)
 
     def rollback(self) -> None:
-        self.session.change = None
+        self.session.change, self.session.waiting = None, []
 
     def __enter__(self) -> Transaction:
         return self
@@ -138,8 +145,10 @@ class _Writer:
             names = [c for c in scan.columns if c in wanted and f"{var}.{c}" not in keep]
             if not names:
                 continue
-            right = scan.select(F.col("_id").alias("__id"), *[F.col(f"`{c}`").alias(f"{var}.{c}") for c in names])
-            df = df.select(*[f"`{c}`" for c in keep]).join(right, col(var, "_id") == F.col("__id"), "left").drop("__id")
+            home = "_kind" if b.kind == "node" else "_type"
+            right = scan.select(F.col("_id").alias("__id"), F.col(home).alias("__home"), *[F.col(f"`{c}`").alias(f"{var}.{c}") for c in names])
+            same = (col(var, "_id") == F.col("__id")) & (col(var, home) == F.col("__home"))
+            df = df.select(*[f"`{c}`" for c in keep]).join(right, same, "left").drop("__id", "__home")
         return Frame(df, {v: Binding(b.kind, True, b.type) for v, b in frame.scope.items()})
 
     def props(self, frame: Frame, props, edge: bool) -> dict[str, F.Column]:
@@ -151,7 +160,7 @@ class _Writer:
             v = self.compiler().value(frame, e)
             if v.type in ("node", "edge", "subgraph", "hyperedge"):
                 raise TypeMismatch(f"{key} cannot hold a {v.type}")
-            c = v.col.cast("string") if v.type == "null" else v.col
+            c = F.lit(None) if v.type == "null" else v.col  # without a type: it takes the property's
             if key in _EDGE_TIMES:
                 c = F.timestamp_millis(v.col) if v.type == "int" else v.col.cast("timestamp")
             out[key] = c
@@ -326,13 +335,15 @@ class _Writer:
             b = staged.scope[e.name]
             if b.kind not in ids:
                 raise TypeMismatch(f"DELETE of a {b.kind}")
-            ids[b.kind].append(staged.df.select(col(e.name, "_id").alias("__id")).where(F.col("__id").isNotNull()))
+            home = col(e.name, "_kind" if b.kind == "node" else "_type")
+            ids[b.kind].append(staged.df.select(col(e.name, "_id").alias("__id"), home.alias("__home")).where(F.col("__id").isNotNull()))
         if ids["edge"]:
             gone = reduce(lambda a, b: a.unionByName(b), ids["edge"]).distinct()
-            self.drop_edges(lambda df: df.join(gone, F.col("_id") == F.col("__id"), "left_semi"), lambda df: df.join(gone, F.col("_id") == F.col("__id"), "left_anti"))
+            same = (F.col("_id") == F.col("__id")) & (F.col("__type") == F.col("__home"))
+            self.drop_edges(lambda df: df.join(gone, same, "left_semi"), lambda df: df.join(gone, same, "left_anti"))
         if ids["node"]:
             gone = reduce(lambda a, b: a.unionByName(b), ids["node"]).distinct()
-            at_src, at_dst = F.col("_src") == F.col("__id"), F.col("_dst") == F.col("__id")
+            at_src, at_dst = ((F.col(x) == F.col("__id")) & (F.col(f"{x}_kind") == F.col("__home")) for x in ("_src", "_dst"))
             if c.detach:
                 self.drop_edges(
                     lambda df: df.join(gone, at_src, "left_semi").unionByName(df.join(gone, at_dst, "left_semi")).dropDuplicates(["_id"]),
@@ -343,18 +354,20 @@ class _Writer:
                 if not left.join(gone, at_src, "left_semi").limit(1).isEmpty() or not left.join(gone, at_dst, "left_semi").limit(1).isEmpty():
                     raise ExecutionError("a node still has relationships; use DETACH DELETE")
             for kind, table in self.change.graph().nodes.items():
-                hit = table.df.join(gone, F.col("_id") == F.col("__id"), "left_semi")
+                here = gone.where(F.col("__home") == kind)
+                hit = table.df.join(here, F.col("_id") == F.col("__id"), "left_semi")
                 if not hit.limit(1).isEmpty():
                     self.fire("before", "delete", hit, "node", F.lit(kind))
-                    self.change.replace_nodes(kind, table.df.join(gone, F.col("_id") == F.col("__id"), "left_anti"))
+                    self.change.replace_nodes(kind, table.df.join(here, F.col("_id") == F.col("__id"), "left_anti"))
         return Frame(staged.df.drop("__row"), staged.scope)
 
     def drop_edges(self, hit, kept) -> None:
         for e in self.change.graph().edges:
-            found = hit(e.df)
+            typed = e.df.withColumn("__type", F.lit(e.type))
+            found = hit(typed).drop("__type")
             if not found.limit(1).isEmpty():
                 self.fire("before", "delete", found, "edge", F.lit(e.type))
-                self.change.replace_edges(e.type, kept(e.df))
+                self.change.replace_edges(e.type, kept(typed).drop("__type"))
 
     # -- MERGE
 
@@ -388,17 +401,21 @@ class _Writer:
 
     def merge_node(self, frame: Frame, node: t.NodePattern) -> Frame:
         values = self.props(frame, node.props, False)
+        values, void = self.typed(frame, values)
         names = {k: f"__p{i}" for i, k in enumerate(values)}
         rows = frame.df.select("*", *[c.alias(names[k]) for k, c in values.items()])
         scan = self.change.graph().node_scan(node.labels, set(values))
         missing = [k for k in values if k not in scan.columns]
         found = scan.select(F.col("_id").alias("__fid"), F.col("_kind").alias("__fkind"), *[F.col(f"`{k}`").alias(f"__f{names[k]}") for k in values if k in scan.columns])
-        on = F.lit(not missing)
-        for k in values:
-            if k not in missing:
-                on = on & (F.col(names[k]) == F.col(f"__f{names[k]}"))
-        best = rows.select("__row", *names.values()).join(found, on).groupBy("__row").agg(F.min(F.struct("__fid", "__fkind")).alias("__best"))
-        rows = rows.join(best, "__row", "left")
+        least = F.min(F.struct("__fid", "__fkind")).alias("__best")
+        if missing or void:  # nothing equals a property that no node has, or null
+            rows = rows.withColumn("__best", F.lit(None).cast("struct<__fid:bigint,__fkind:string>"))
+        elif not values:  # any node of the labels will do: the least one, a single row
+            rows = rows.join(F.broadcast(found.agg(least)), how="cross")
+        else:
+            on = reduce(lambda a, b: a & b, [F.col(names[k]) == F.col(f"__f{names[k]}") for k in values])
+            best = rows.select("__row", *names.values()).join(found, on).groupBy("__row").agg(least)
+            rows = rows.join(best, "__row", "left")
         fresh = rows.where(F.col("__best").isNull()).select(*names.values()).distinct()
         keys, n = self.change.staged(fresh.withColumn("__any", F.lit(1)), "__k")
         first = self.change.take_ids(n)
@@ -417,6 +434,12 @@ class _Writer:
         })
         return self.written(Frame(rows.drop("__best", "__new", *names.values(), *[f"__n{c}" for c in names.values()]), {**frame.scope, node.var: Binding("node", True, "node")}))
 
+    def typed(self, frame: Frame, values: dict[str, F.Column]) -> tuple[dict[str, F.Column], set[str]]:
+        """The properties that have a type, and the keys of those that are a bare null."""
+        schema = frame.df.select(*[c.alias(k) for k, c in values.items()]).schema
+        void = {f.name for f in schema.fields if isinstance(f.dataType, T.NullType)}
+        return {k: c for k, c in values.items() if k not in void}, void
+
     def written(self, frame: Frame) -> Frame:
         """The frame as files: what was found must not change when what was made is read."""
         path = f"{self.change.store.root}/{self.change.folder()}"
@@ -424,28 +447,35 @@ class _Writer:
         return Frame(self.change.spark.read.parquet(path), frame.scope)
 
     def merge_edge(self, frame: Frame, a: str, rel: t.RelPattern, b: str) -> Frame:
-        values = self.props(frame, rel.props, True)
+        values, _ = self.typed(frame, self.props(frame, rel.props, True))
         names = {k: f"__p{i}" for i, k in enumerate(values)}
         if rel.direction == "in":
             a, b = b, a
         ends = {"_src": col(a, "_id"), "_src_kind": col(a, "_kind"), "_dst": col(b, "_id"), "_dst_kind": col(b, "_kind")}
         rows = frame.df.select("*", *[c.alias(n) for n, c in ends.items()], *[c.alias(names[k]) for k, c in values.items()])
         edges = self.change.graph().edge_scan(rel.types, set())
-        seen = edges.select(F.col("_id").alias("__fid"), F.col("_src").alias("__fs"), F.col("_dst").alias("__fd"))
+        at = {"__fs": "_src", "__fsk": "_src_kind", "__fd": "_dst", "__fdk": "_dst_kind"}
+        seen = edges.select(F.col("_id").alias("__fid"), *[F.col(c).alias(n) for n, c in at.items()])
         if rel.direction == "both":
-            seen = seen.unionByName(seen.select("__fid", F.col("__fd").alias("__fs"), F.col("__fs").alias("__fd")))
-        found = seen.groupBy("__fs", "__fd").agg(F.min("__fid").alias("__fid"))
-        rows = rows.join(found, (F.col("_src") == F.col("__fs")) & (F.col("_dst") == F.col("__fd")), "left").drop("__fs", "__fd")
+            turned = {"__fs": "__fd", "__fsk": "__fdk", "__fd": "__fs", "__fdk": "__fsk"}
+            seen = seen.unionByName(seen.select("__fid", *[F.col(c).alias(n) for n, c in turned.items()]))
+        found = seen.groupBy(*at).agg(F.min("__fid").alias("__fid"))
+
+        def ends_are(names: dict[str, str]) -> F.Column:
+            return reduce(lambda x, y: x & y, [F.col(c) == F.col(n) for n, c in names.items()])
+
+        rows = rows.join(found, ends_are(at), "left").drop(*at)
         fresh = rows.where(F.col("__fid").isNull()).groupBy(*ends).agg(*[F.first(c).alias(c) for c in names.values()], F.lit(1).alias("__any"))
         keys, n = self.change.staged(fresh, "__k")
         first = self.change.take_ids(n)
         keys = keys.withColumn("_id", F.col("__k") + F.lit(first)).drop("__k", "__any")
         if n:
             self.new_edges(keys, rel.types[0], names)
-        back = keys.select(F.col("_id").alias("__new"), F.col("_src").alias("__ns"), F.col("_dst").alias("__nd"))
-        rows = rows.join(back, F.col("__fid").isNull() & (F.col("_src") == F.col("__ns")) & (F.col("_dst") == F.col("__nd")), "left")
+        made = {"__ns": "_src", "__nsk": "_src_kind", "__nd": "_dst", "__ndk": "_dst_kind"}
+        back = keys.select(F.col("_id").alias("__new"), *[F.col(c).alias(n) for n, c in made.items()])
+        rows = rows.join(back, F.col("__fid").isNull() & ends_are(made), "left").drop(*made)
         rows = rows.withColumns({f"{rel.var}._id": F.coalesce("__fid", "__new"), f"{rel.var}._type": F.lit(rel.types[0]), "__created": F.col("__created") | F.col("__fid").isNull()})
-        return self.written(Frame(rows.drop("__fid", "__new", "__ns", "__nd", *ends, *names.values()), {**frame.scope, rel.var: Binding("edge", True, "edge")}))
+        return self.written(Frame(rows.drop("__fid", "__new", *ends, *names.values()), {**frame.scope, rel.var: Binding("edge", True, "edge")}))
 
     # -- indexes
 

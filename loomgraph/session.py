@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import time
 from dataclasses import dataclass
 
@@ -70,11 +71,7 @@ class Session:
 
     def _written(self, df: DataFrame) -> DataFrame:
         """A long path's frontier, cut off from what made it: a checkpoint in the shared folder."""
-        sc = self.spark.sparkContext
-        if sc.getCheckpointDir() is None:
-            import tempfile
-
-            sc.setCheckpointDir(self.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgraph-"))
+        scratch_folder(self.spark)
         return df.checkpoint(eager=True)
 
     def _run(self, query: t.Query, params: dict, now_ms: int) -> Result:
@@ -133,6 +130,20 @@ class Session:
         return self.plugins.serializers.get(format).load(data)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which all executors share: the one of `spark.checkpoint.dir`; one of our
+    own only where that is unset and Spark runs on this machine alone."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root:
+        if not sc.master.startswith("local"):
+            raise ExecutionError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="loomgraph-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
 def entity_columns(query: t.Query) -> set[str]:
     """Result columns that are whole pattern variables."""
     patterns = {p.var for c in query.clauses if isinstance(c, (t.Match, t.Create, t.Merge)) for chain in c.chains for p in (*chain.nodes, *chain.rels)}

@@ -41,7 +41,7 @@ class EdgeTable:
 
 @dataclass(frozen=True)
 class Graph:
-    """Everything a query can read. one_space: ids are unique over all kinds."""
+    """Everything a query can read."""
 
     spark: SparkSession
     nodes: dict[str, NodeTable] = field(default_factory=dict)
@@ -50,7 +50,6 @@ class Graph:
     subgraphs: DataFrame | None = None
     members: DataFrame | None = None
     hyperedges: DataFrame | None = None
-    one_space: bool = False
 
     def with_nodes(self, kind: str, df: DataFrame, id_column: str | None = None) -> Graph:
         """The graph with a table as the nodes of one label."""

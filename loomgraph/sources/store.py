@@ -1,9 +1,11 @@
 """A graph kept as Parquet: immutable data folders and numbered manifests.
 
 A statement writes new folders and, last, one manifest that lists the folders of every
-table. A reader keeps the manifest it began with; a writer whose number is taken by
-another fails, and what it wrote is never listed. Folders that no manifest lists are
-leftovers of broken writes and are ignored. Nodes lie in one table for each first
+table. A manifest gets its name only when it is whole, and only if no other has it: a
+reader never meets half of one, keeps the manifest it began with, and a writer whose
+number is taken by another fails, and what it wrote is never listed. Folders that no
+manifest lists are leftovers of broken writes and are ignored, and so is a manifest that
+cannot be read: the newest whole one counts. A node's identity is its kind and its id. Nodes lie in one table for each first
 label (their kind), edges in one for each type, so a change rewrites only the tables it
 touches and new rows are only ever appended.
 """
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import operators as ops
 from ..lang.errors import ExecutionError
 from .graph import ENTITY, EdgeTable, Graph, NodeTable, common_type, normalised
 
@@ -27,6 +30,8 @@ EDGE_SYSTEM = "_id long, _src long, _src_kind string, _dst long, _dst_kind strin
 SUBGRAPH_SYSTEM = "_id long, _labels array<string>, _temporal_anchor timestamp, _created_at timestamp"
 MEMBER_SYSTEM = "subgraph_id long, node_id long, node_kind string"
 HYPEREDGE_SYSTEM = f"_id long, _type string, _sources array<{ENTITY}>, _targets array<{ENTITY}>, _created_at timestamp"
+#: Stores whose files appear when they are closed; a rename is a copy there.
+_WHOLE = {"s3", "s3a", "s3n", "gs", "oss", "wasb", "wasbs", "abfs", "abfss"}
 #: Folders of one table before an append writes it anew.
 MOST_FOLDERS = 64
 
@@ -37,7 +42,7 @@ class Files:
     """The few file operations of the store, on any file system Spark knows."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.jvm, self.root = spark._jvm, root.rstrip("/")
+        self.spark, self.jvm, self.root = spark.sparkContext, spark._jvm, root.rstrip("/")
         path = self.path("")
         self.fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -57,11 +62,35 @@ class Files:
             stream.close()
 
     def create(self, name: str, text: str) -> bool:
-        """A new file with this text; False if there is one already."""
+        """A new file with this text, which appears whole or not at all; False if there is one already."""
+        if (self.fs.getScheme() or "file") in _WHOLE:
+            return self._write(self.path(name), text)  # visible only when it is closed
+        part = self.path(f".{name}.{uuid.uuid4().hex}")
+        self._write(part, text)
         try:
-            stream = self.fs.create(self.path(name), False)
+            if self.fs.getScheme() == "file":
+                files = self.jvm.java.nio.file
+                target, made = (files.Paths.get(self.fs.makeQualified(p).toUri().getPath(), self._none()) for p in (self.path(name), part))
+                files.Files.createLink(target, made)
+            else:
+                context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(part.toUri(), self.fs.getConf())
+                context.rename(part, self.path(name), self.spark._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0))
+            return True
         except Exception as e:
-            if "already exists" in str(e) or "FileAlreadyExists" in str(e):
+            if "AlreadyExists" in str(e) or "already exists" in str(e):
+                return False
+            raise
+        finally:
+            self.fs.delete(part, False)
+
+    def _none(self):
+        return self.spark._gateway.new_array(self.jvm.java.lang.String, 0)
+
+    def _write(self, path, text: str) -> bool:
+        try:
+            stream = self.fs.create(path, False)
+        except Exception as e:
+            if "already exists" in str(e) or "AlreadyExists" in str(e):
                 return False
             raise
         try:
@@ -78,20 +107,30 @@ class LoomStore:
         self.spark, self.root = spark, root.rstrip("/")
         self.files = Files(spark, self.root)
 
+    def numbers(self) -> list[int]:
+        """Numbers of all manifests, newest first."""
+        return sorted((int(n[9:-5]) for n in self.files.names() if n.startswith("manifest-") and n.endswith(".json")), reverse=True)
+
     def newest(self) -> int:
-        numbers = [int(n[9:-5]) for n in self.files.names() if n.startswith("manifest-") and n.endswith(".json")]
-        return max(numbers, default=0)
+        return self.manifest()[0]
 
     def manifest(self, number: int | None = None) -> tuple[int, dict]:
-        number = self.newest() if number is None else number
-        return number, json.loads(self.files.read(f"manifest-{number:09d}.json")) if number else copy.deepcopy(_EMPTY)
+        """A commit's number and manifest; without a number those of the newest that can be read."""
+        for one in self.numbers() if number is None else [number] * (number > 0):
+            try:
+                return one, json.loads(self.files.read(f"manifest-{one:09d}.json"))
+            except ValueError:
+                if number is not None:
+                    raise ExecutionError(f"commit {number} is broken") from None
+        return 0, copy.deepcopy(_EMPTY)
 
     def graph(self) -> Graph:
         return self.begin().graph()
 
     def begin(self) -> Change:
-        number, manifest = self.manifest()
-        return Change(self, number, manifest)
+        top = max(self.numbers(), default=0)  # before the reading: a commit in between is a conflict
+        _, manifest = self.manifest()
+        return Change(self, top, manifest)
 
     def graph_at(self, number: int) -> Graph:
         """The graph as commit `number` left it; 0 is the empty one."""
@@ -142,6 +181,41 @@ class LoomStore:
     def edge_count(self) -> int:
         return self.graph().edge_scan((), set()).count()
 
+    def node(self, kind: str, id: int) -> DataFrame:
+        """The node of a kind with an id; one row or none."""
+        return ops.node_of(self.graph(), kind, id)
+
+    def edge(self, type: str, id: int) -> DataFrame:
+        """The edge of a type with an id; one row or none."""
+        return ops.edge_of(self.graph(), type, id)
+
+    def edges_of(self, kind: str, id: int, types: tuple[str, ...] = ()) -> DataFrame:
+        """The edges that begin or end at a node."""
+        return ops.edges_of(self.graph(), kind, id, types)
+
+    def versions(self, kind: str, id: int) -> DataFrame:
+        """Earlier states of a node, oldest first in `_seq`."""
+        return ops.versions_of(self.graph(), kind, id)
+
+    def version(self, kind: str, id: int, number: int) -> DataFrame:
+        """One earlier state of a node by its number; one row or none."""
+        return self.versions(kind, id).where(F.col("_seq") == number)
+
+    def latest_version(self, kind: str, id: int) -> DataFrame:
+        """The last of a node's earlier states; one row or none."""
+        return self.versions(kind, id).orderBy(F.desc("_seq")).limit(1)
+
+    def indexes(self) -> list[dict]:
+        """name, on (label or type), key and edge of every index."""
+        return [dict(i) for i in self.manifest()[1]["indexes"]]
+
+    def look_up(self, label: str, key: str, value) -> DataFrame:
+        """Nodes by a property's value; with an index on it only the files that may have it are read."""
+        return ops.index_scan(self.graph(), label, key, value)
+
+    def look_up_range(self, label: str, key: str, low, high) -> DataFrame:
+        return ops.range_scan(self.graph(), label, key, low, high)
+
     def delete_subgraph(self, subgraph_id: int) -> None:
         change = self.begin()
         g = change.graph()
@@ -149,9 +223,11 @@ class LoomStore:
         change.write_table("members", g.member_scan().where(F.col("subgraph_id") != subgraph_id), MEMBER_SYSTEM, False)
         change.commit()
 
-    def remove_member(self, subgraph_id: int, node_id: int) -> None:
+    def remove_member(self, subgraph_id: int, node_id: int, kind: str | None = None) -> None:
+        """Take a node (of a kind, where ids are not unique) out of a subgraph."""
         change = self.begin()
-        kept = change.graph().member_scan().where(~((F.col("subgraph_id") == subgraph_id) & (F.col("node_id") == node_id)))
+        one = (F.col("subgraph_id") == subgraph_id) & (F.col("node_id") == node_id)
+        kept = change.graph().member_scan().where(~(one if kind is None else one & (F.col("node_kind") == kind)))
         change.write_table("members", kept, MEMBER_SYSTEM, False)
         change.commit()
 
@@ -180,7 +256,7 @@ class Change:
             edges = tuple(EdgeTable(k, self._read(e)) for k, e in m["edges"].items())
             versions = {k: self._read(e) for k, e in m["versions"].items()}
             single = {n: self._read(m[n]) if m[n] else None for n in ("subgraphs", "members", "hyperedges")}
-            self._graph = replace(Graph(self.spark, nodes, edges, versions, one_space=True), **single)
+            self._graph = replace(Graph(self.spark, nodes, edges, versions), **single)
         return self._graph
 
     # -- writing
@@ -239,12 +315,13 @@ class Change:
         if entry:
             wanted |= {f["name"]: T.StructType.fromJson(entry["schema"])[f["name"]].dataType for f in entry["schema"]["fields"]}
         for f in df.schema.fields:
-            new = T.StringType() if isinstance(f.dataType, T.NullType) else f.dataType
+            if isinstance(f.dataType, T.NullType):
+                continue  # a property that is only ever null has no type yet, and no column
             if f.name not in wanted:
-                wanted[f.name] = new
-            elif wanted[f.name] != new and not isinstance(f.dataType, T.NullType) and not f.name.startswith("_"):
+                wanted[f.name] = f.dataType
+            elif wanted[f.name] != f.dataType and not f.name.startswith("_"):
                 try:
-                    both = common_type(wanted[f.name], new, f.name)
+                    both = common_type(wanted[f.name], f.dataType, f.name)
                 except TypeError as e:
                     raise ExecutionError(str(e)) from e
                 wide |= both != wanted[f.name]
