@@ -21,29 +21,36 @@ SHINGLE, SIMILARITY = 5, 0.8
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches `QUALITY`, by a model of the labelled ones.
 
-    A null id cannot be judged by id, so the score is joined to nothing: it is computed
-    where the row lies."""
+    The score is computed where the row lies, so null and repeated ids make no difference; a null
+    text is scored as an empty one, a very long one whole. Without usable labels all scores are
+    0.5, and nothing is kept. Other columns are carried through, whatever their names."""
     model = nbsvm.train(docs, table(spark, sf_dir, "labels"))
     return nbsvm.keep(docs, model, QUALITY)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
+    """One document of each group of near copies: the one with the smallest id.
+
+    Empty texts (null ones, too) are copies of each other. Rows without an id stay; of rows that
+    repeat an id one stays. Very long texts count whole, an empty table stays empty."""
     return simhash.keep_similar(docs, shingle=SHINGLE, similarity=SIMILARITY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no passage with the benchmark."""
+    """Documents that share no passage with the benchmark; null and empty texts share none, repeated
+    rows go or stay together, and without a benchmark all stay."""
     return spaced.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with surrogates for personal data; n_chars is counted anew."""
+    """All documents, with surrogates for personal data; n_chars is counted anew (null for a null
+    text). Repeated texts are replaced alike, columns of any other name are carried through."""
     return surrogates.replace(docs, counted=None).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, decoded_sha256 of every document."""
+    """doc_id, n_tokens, ids, decoded_sha256 of every document; a null or empty text has no ids,
+    repeated rows repeat their result, very long texts are encoded whole, no rows give none."""
     encoded = bpe.encode(docs, decoded=True)
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
