@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import by_id, id_cuts, parts_for
+from .ordered import MOST_PARTS, by_id, id_cuts, parts_for, sizes
 
 #: Bytes of a chunk: least, normal, most; zero bits asked for below and above the normal size.
 LEAST, NORMAL, MOST, STRICT, LOOSE = 16, 40, 160, 7, 4
@@ -146,7 +146,7 @@ def _edited(one: _Marked, following: str) -> tuple[str, dict[int, int]]:
     return text, chunk_digests(data, one.cuts[:same]) | chunk_digests(data, cut_points(data, start), start)
 
 
-def compare_edited(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+def compare_edited(docs: DataFrame, part_bytes: int = PART_BYTES, most_parts: int = MOST_PARTS) -> DataFrame:
     """doc_id, n_chars, edited (text), fingerprint, edited_fingerprint, near_edited, near_next.
 
     One row per row of `docs`. The next document is the next in ascending doc_id (null
@@ -155,10 +155,12 @@ def compare_edited(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     next; an empty table gives an empty result; other columns are not read.
 
     Documents are dealt once, by ranges of ids of about `part_bytes` of text; each range
-    also gets the first document of the one after it. The driver sees one id a range.
+    also gets the first document of the one after it. The driver sees one id a range. With
+    more than `most_parts` ranges these grow instead; a task holds a batch of rows and one
+    document more, however long its range is. Very long texts are hashed in windows.
     """
     id_type = dict(docs.dtypes)["doc_id"]
-    rows = by_id(docs, id_cuts(docs, parts_for(docs, part_bytes)), lookahead=True)
+    rows = by_id(docs, id_cuts(docs, parts_for(sizes(docs)[1], part_bytes, most_parts)), lookahead=True)
     schema = f"doc_id {id_type}, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

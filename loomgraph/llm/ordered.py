@@ -10,14 +10,20 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
-#: Accuracy of the quantiles that place the cuts; partitions at most.
+#: Accuracy of the quantiles that place the cuts; partitions at most. Beyond these they grow, which
+#: is safe: a partition is sorted by Spark, which spills, and read as a stream of rows.
 ACCURACY, MOST_PARTS = 1e-3, 20_000
 
 
-def parts_for(docs: DataFrame, target_bytes: int) -> int:
-    """Partitions so that each holds about `target_bytes` of text."""
-    total = docs.agg(F.sum(F.octet_length(text_or_empty())).alias("n")).first()["n"] or 0
-    return int(max(1, min(MOST_PARTS, -(-total // target_bytes))))
+def sizes(docs: DataFrame) -> tuple[int, int]:
+    """Rows, and bytes of their texts."""
+    row = docs.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(text_or_empty())).alias("bytes")).first()
+    return row["rows"], row["bytes"] or 0
+
+
+def parts_for(total_bytes: int, target_bytes: int, most: int = MOST_PARTS) -> int:
+    """Partitions so that each holds about `target_bytes` of text, but no more than `most`."""
+    return int(max(1, min(most, -(-total_bytes // target_bytes))))
 
 
 def id_cuts(docs: DataFrame, parts: int) -> list[int]:

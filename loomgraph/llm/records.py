@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch_path
-from .ordered import by_id, id_cuts, parts_for
+from .ordered import MOST_PARTS, by_id, id_cuts, parts_for, sizes
 
 #: Text bytes whose ids go to one file; pieces of text a worker remembers the ids of.
 FILE_BYTES, MEMO_PIECES = 24 << 20, 600_000
@@ -146,17 +146,23 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, file_bytes: int = FILE_BYTES) -> None:
+def write(
+    docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, file_bytes: int = FILE_BYTES, most_parts: int = MOST_PARTS
+) -> None:
     """Encode every whole text, append `end_id`, and write the frames under `path`/data,
     then the index under `path`/index.
 
-    Documents are dealt once, by ranges of ids of about `file_bytes` of text, one file
-    each, in ascending doc_id (null ids first, rows with one id by their text). A null
-    text counts as empty and has only the end id. Repeated rows are repeated records.
-    An empty table writes no records and an empty index. Other columns are not read.
+    Documents are dealt once, by at most `most_parts` ranges of ids, in ascending doc_id
+    (null ids first, rows with one id by their text). A range is written to files of about
+    `file_bytes` of text each (twice the mean number of documents of that size at most), so
+    files stay small however many documents there are. A null text counts as empty and has
+    only the end id. Repeated rows are repeated records. An empty table writes no records
+    and an empty index. Very long texts are one record each. Other columns are not read.
     """
     spark = docs.sparkSession
-    rows = by_id(docs, id_cuts(docs, parts_for(docs, file_bytes)))
+    count, total = sizes(docs)
+    rows = by_id(docs, id_cuts(docs, parts_for(total, file_bytes, most_parts)))
+    per_file = max(1, 2 * count * file_bytes // max(1, total))
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +175,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, fi
                 yield pa.RecordBatch.from_arrays([pa.array(out, type=pa.binary())], names=["frame"])
 
     framed = rows.select("doc_id", "text").mapInArrow(run, "frame binary")
-    framed.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/data")
+    framed.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", per_file).text(f"{path}/data")
     _index(spark, path).write.parquet(f"{path}/index")
 
 
@@ -221,21 +227,23 @@ def _wide(body, width: int) -> bytes:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids (binary, little-endian 32-bit) of every record, checksums
-    verified. start counts the ids of all records before it; what is added up across
-    files is one row a file."""
+    verified (ValueError on damage). start counts the ids of all records before it; what is added
+    up across files is one row a file. Null ids come back as null, empty texts as their end id."""
     found = _scan(_files(spark, path), True, "ids", "binary", _wide)
     return _with_start(spark, path, found, "ids")
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every record, as `read` gives them."""
+    """doc_id, start, n_tokens, ids_crc32 of every record, as `read` gives them; no files, no rows."""
     found = _scan(_files(spark, path), True, "ids_crc32", "long", lambda body, width: zlib.crc32(_wide(body, width)))
     return _with_start(spark, path, found, "ids_crc32")
 
 
 def _with_start(spark: SparkSession, path: str, found: DataFrame, column: str) -> DataFrame:
     sizes = index(spark, path).groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    # a range's files follow each other by number: part-<range>-<run>-c<number of the file>
+    place = [F.regexp_extract("file", p, 1).cast("long") for p in ("^part-([0-9]+)", "-c([0-9]+)[^-]*$")]
+    before = F.sum("n").over(Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, -1))
     bases = sizes.select(F.col("file").alias("at_file"), F.coalesce(before, F.lit(0)).alias("base"))
     joined = found.join(bases, found.file == bases.at_file)
     return joined.select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", column)
@@ -245,7 +253,8 @@ def read_shuffled(spark: SparkSession, path: str, seed: int, share: float = 1.0)
     """rank, doc_id, ids of a `share` of the records in a pseudo-random order set by `seed`.
 
     The index chooses and ranks the records; each file is then read once and only the
-    chosen frames are taken at their offsets."""
+    chosen frames are taken at their offsets, checksums verified. Repeated documents, null ids and
+    empty texts are records like any other; an empty store gives no rows."""
     rank = F.xxhash64("file", "place", F.lit(seed))
     chosen = index(spark, path).select("file", "offset", "length", rank.alias("rank"))
     if share < 1:
@@ -269,7 +278,8 @@ def read_shuffled(spark: SparkSession, path: str, seed: int, share: float = 1.0)
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Write `docs` to the shared folder and read the digests back from the files."""
+    """Write `docs` to the shared folder and read the digests back from the files: `write`, then
+    `read_digests`, which say what nulls, empty, long and repeated rows and empty tables give."""
     path = scratch_path(docs.sparkSession, "records")
     write(docs, path, tokenizer)
     return read_digests(docs.sparkSession, path)
