@@ -20,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of `spark.checkpoint.dir`; one of our own only where it is unset."""
+    """The shared folder of `spark.checkpoint.dir`; one of our own only where it is unset, and
+    only in local mode, as no other machine could read it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext.getCheckpointDir()
+        if not held and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = held or "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         if not held:
             spark.sparkContext.setCheckpointDir(root)
@@ -75,13 +78,14 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def map_text(
-    df: DataFrame, fn: Callable[[list], dict[str, list]], schema: str, rows: int = 1000
+    df: DataFrame, fn: Callable[[list], dict[str, list]], schema: str, rows: int = 1000, after: Callable[[], None] | None = None
 ) -> DataFrame:
     """Apply `fn` to the last column of `df` in slices of at most `rows` rows.
 
     All columns but the last are carried through; `fn` gets a list of Python
     values and returns lists for the columns of `schema`, which is a DDL string of
-    the new columns. Slices bound what a Python worker holds at a time.
+    the new columns. Slices bound what a Python worker holds at a time. `after` is called at the
+    end of each task, to give up what `fn` remembers: a worker lives on for tasks of other kinds.
     """
     spark_schema = _ddl(df, schema)
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -91,13 +95,17 @@ def map_text(
     new = [n for n in arrow.names if n not in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                got = fn(part.column(part.num_columns - 1).to_pylist())
-                columns = [part.column(i).cast(arrow.field(n).type) for i, n in enumerate(kept)]
-                columns += [pa.array(got[n], type=arrow.field(n).type) for n in new]
-                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, rows):
+                    part = batch.slice(at, rows)
+                    got = fn(part.column(part.num_columns - 1).to_pylist())
+                    columns = [part.column(i).cast(arrow.field(n).type) for i, n in enumerate(kept)]
+                    columns += [pa.array(got[n], type=arrow.field(n).type) for n in new]
+                    yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        finally:
+            if after is not None:
+                after()
 
     return df.mapInArrow(run, spark_schema)
 
@@ -109,21 +117,20 @@ def _ddl(df: DataFrame, schema: str):
     return T.StructType([*df.schema.fields[:-1], *new.fields])
 
 
-def bounded_labelled(
-    docs: DataFrame, labels: DataFrame, target: str, limit: int, also: tuple[str, ...] = ()
-) -> DataFrame:
-    """At most about `limit` labelled rows outside the held-out class, with their texts.
+def bounded_labelled(docs: DataFrame, labels: DataFrame, target: str, limit: int) -> DataFrame:
+    """target, doc_id, text: about `limit` labelled documents at most, outside the held-out class.
 
     The share kept of each class of `target` is set from the class counts so that
     rare classes are kept whole first; rows are chosen by a hash of their id, so
-    the choice is the same on every run. What is joined to the documents has at
-    most `limit` rows, a bound that does not grow, so it is broadcast.
+    the choice is the same on every run. An id with several labels has the largest of them, an
+    id with several texts the first in order, so that repeated rows make no more of them. What is
+    joined to the documents has at most `limit` rows, a bound that does not grow, so it is broadcast.
     """
     train = (
-        labels.select("doc_id", F.col(target).cast("int").alias("target"), *also)
+        labels.select("doc_id", F.col(target).cast("int").alias("target"))
         .where(F.col("doc_id").isNotNull() & F.col("target").isNotNull() & ~held_out())
-        .dropDuplicates(["doc_id"])
-    )
+        .groupBy("doc_id").agg(F.max("target").alias("target"))
+    )
     counts = {r["target"]: r["count"] for r in train.groupBy("target").count().collect()}
     share, left, room = {}, len(counts), limit
     for value, n in sorted(counts.items(), key=lambda x: x[1]):
@@ -134,5 +141,5 @@ def bounded_labelled(
     for value, p in share.items():
         keep = keep | ((F.col("target") == value) & (unit < p))
     chosen = train.where(keep).limit(int(limit * 1.1) + 100)
-    one = docs.select("doc_id", text_or_empty().alias("text"))
-    return one.join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.max("target").alias("target"), F.min("text").alias("text")).select("target", "doc_id", "text")

@@ -21,7 +21,7 @@ from .common import bounded_labelled, held_out, map_text, text_or_empty
 #: Columns of the hashed feature space; labelled rows that a model is fitted on at most.
 DIMENSIONS, SAMPLE = 1 << 18, 6_000
 #: Entries of a worker's memo of words.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 
 _SHAPES = [
     (re.compile(r"[^\W\d_]+"), lambda m: _case(m.group())),
@@ -42,7 +42,7 @@ def shape_of(word: str) -> str:
     """A word's form: runs of letters by case, of digits, and its other signs as they are."""
     for pattern, name in _SHAPES:
         word = pattern.sub(name, word)
-    return _RUNS.sub(r"\1\1", word)[:12]
+    return _RUNS.sub(r"\1\1", word)
 
 
 class Features:
@@ -202,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, dimensions:
         features = _features(dimensions)
         return {"features": [features.of(t).astype(np.int32).tobytes() for t in values]}
 
-    got = map_text(texts, run, "features binary").orderBy("doc_id").collect()
+    got = map_text(texts, run, "features binary", after=_forget).orderBy("doc_id").collect()
     rows = [np.frombuffer(r["features"], dtype=np.int32).astype(np.int64) for r in got]
     return fit(rows, np.array([r["target"] for r in got], dtype=int), dimensions)
 
@@ -211,7 +211,11 @@ _CACHE: dict[int, Features] = {}
 
 
 def _features(dimensions: int) -> Features:
-    return _CACHE.setdefault(dimensions, Features(dimensions))
+    return _CACHE.get(dimensions) or _CACHE.setdefault(dimensions, Features(dimensions))
+
+
+def _forget() -> None:
+    _CACHE.clear()
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -230,7 +234,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         features = _features(held.dimensions)
         return {"score": [held.score(features.of(text)) for text in values]}
 
-    return map_text(docs.select("doc_id", text_or_empty().alias("text")), run, "score double")
+    return map_text(docs.select("doc_id", text_or_empty().alias("text")), run, "score double", after=_forget)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
@@ -244,7 +248,10 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample:
 
 
 def keep(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """The rows of `docs` whose text scores at least `threshold`, all columns as they are. Narrow."""
+    """The rows of `docs` whose text scores at least `threshold`, all columns as they are. Narrow.
+
+    A null text is scored as an empty one; repeated rows stay or go together; very long texts are
+    scored whole; columns of any other name are carried through; an empty table stays empty."""
     from collections.abc import Iterator
 
     import pyarrow as pa
@@ -255,7 +262,7 @@ def keep(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sent.value
-        features = _features(held.dimensions)
+        features = Features(held.dimensions)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)

@@ -44,7 +44,7 @@ def words_of(text: str) -> list[str]:
 class Hasher:
     """64-bit numbers of words, with a bounded memo."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         self.memo: dict[str, int] = {}
         self.most = most
 
@@ -217,7 +217,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
     def step(sent, alone: bool) -> None:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hasher, held = _hasher(), sent.value
+            hasher, held = Hasher(), sent.value
             for batch in batches:
                 ids, out = batch.column(0), []
                 for at in range(0, batch.num_rows, 1000):
@@ -239,15 +239,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     return found
 
 
-_HASHER: list[Hasher] = []
-
-
-def _hasher() -> Hasher:
-    if not _HASHER:
-        _HASHER.append(Hasher())
-    return _HASHER[0]
-
-
 def flags(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """doc_id, n_items, n_words (of the longest overlap): one row per contaminated doc_id, over all its
     rows; a null doc_id is one, too. Empty, null and long texts are as in `contaminated`."""
@@ -269,7 +260,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
     def step(sent, alone: bool) -> None:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hasher, held = _hasher(), sent.value
+            hasher, held = Hasher(), sent.value
             for batch in batches:
                 for at in range(0, batch.num_rows, 1000):
                     part = batch.slice(at, 1000)
