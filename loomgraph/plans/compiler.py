@@ -290,6 +290,9 @@ class Compiler:
             return frame
         kinds = self.graph.kinds_with(node.labels)
         settled = all(self.graph.nodes[k].uniform for k in kinds)
+        if not b.joined and when is None and self.needs[node.var] == {"_labels"} and (shown := self.labels_of(col(node.var, "_kind"), kinds)) is not None:
+            df = frame.df.where(col(node.var, "_kind").isin(*kinds)) if node.labels else frame.df
+            return Frame(df.withColumn(f"{node.var}._labels", shown), {**frame.scope, node.var: Binding("node", True, "node")})
         wanted = bool(self.needs[node.var]) or when is not None and when.kind == "at"
         if b.joined or not (wanted or (node.labels and not settled)):
             if node.labels:
@@ -299,6 +302,16 @@ class Compiler:
             return frame
         return self.node_join(frame, node, when, columns=True)
 
+    def labels_of(self, kind: F.Column, kinds: list[str]) -> F.Column | None:
+        """The labels of a node by its kind, where all rows of these kinds have one and the same label; else None."""
+        tables = [self.graph.nodes[k] for k in kinds]
+        if not kinds or not all(n.uniform and len(n.labels) == 1 for n in tables):
+            return None
+        shown = F.lit(None).cast("array<string>")
+        for k, n in zip(kinds, tables, strict=True):
+            shown = F.when(kind == k, F.array(F.lit(next(iter(n.labels))))).otherwise(shown)
+        return shown
+
     def node_join(self, frame: Frame, node: t.NodePattern, when: t.Temporal | None, columns: bool) -> Frame:
         var = node.var
         scan = self.node_table(var, node.labels, when, False, frame)
@@ -347,7 +360,10 @@ class Compiler:
         people = ops.participants(self.graph.hyperedge_scan()).where(F.col("kind") != "Subgraph")
         refs = people.select(F.col("_id").alias("__h"), F.col("id").alias("_id"), F.col("kind").alias("_kind"), "ts", "role", "place")
         wanted = self.needs[var] - {"_labels"}
-        if self.needs[var]:
+        shown = self.labels_of(F.col("_kind"), self.graph.kinds_with(())) if self.needs[var] == {"_labels"} else None
+        if shown is not None:  # the kind tells, so no table of nodes is read
+            refs = refs.withColumn("_labels", shown)
+        elif self.needs[var]:
             current = self.graph.node_scan((), wanted | {"_updated_at"})
             refs = temporal.reference_states(current, self.graph.version_scan((), wanted | {"_updated_at"}), refs)
         keep = {"_id", "_kind"} | self.needs[var]
