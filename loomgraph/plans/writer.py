@@ -274,38 +274,23 @@ class _Writer:
         for one in homes:
             table = graph.nodes[one].df if node else next(e.df for e in graph.edges if e.type == one)
             ups = last.where(F.col("__home") == one).select("__id", "__new")
-            joined = table.join(ups, table["_id"] == F.col("__id"), "left")
-            hit = F.col("__id").isNotNull()
-            types = dict(table.dtypes)
-            columns = {}
-            for k in values:
-                old = F.col(f"`{k}`") if k in types else F.lit(None)
-                columns[k] = F.when(hit, F.col(f"__new.`{k}`")).otherwise(old)
+            joined = table.join(ups, table["_id"] == F.col("__id"))
+            columns = {k: F.col(f"__new.`{k}`") for k in values}
             if self.session.track_times:
-                columns["_updated_at"] = F.when(hit, self.now).otherwise(F.col("_updated_at"))
+                columns["_updated_at"] = self.now
             if node:
-                columns["_ver"] = F.when(hit, F.col("_ver") + 1).otherwise(F.col("_ver"))
+                columns["_ver"] = F.col("_ver") + 1
                 if without_label is not None:
-                    columns["_labels"] = F.when(hit, F.array_remove("_labels", without_label)).otherwise(F.col("_labels"))
+                    columns["_labels"] = F.array_remove("_labels", without_label)
                 if self.session.keep_versions:
-                    old = table.join(ups.select("__id"), table["_id"] == F.col("__id"), "left_semi")
+                    old = joined.select(*[f"`{c}`" for c in table.columns])
                     self.change.append_versions(one, old.withColumn("_seq", F.col("_ver") + 1))
-            changed = self._changed(joined, columns, table)
-            self.fire("before", "update", changed.where(hit).drop("__id", "__new"), "node" if node else "edge", F.lit(one))
-            result = changed.drop("__id", "__new")
+            changed = joined.withColumns(columns).drop("__id", "__new")
+            self.fire("before", "update", changed, "node" if node else "edge", F.lit(one))
             if node:
-                self.change.replace_nodes(one, result, False if without_label is not None else None)
+                self.change.patch_nodes(one, changed, uniform=False if without_label is not None else None)
             else:
-                self.change.replace_edges(one, result)
-
-    def _changed(self, joined: DataFrame, columns: dict[str, F.Column], table: DataFrame) -> DataFrame:
-        """The joined rows with new column values; a property of numbers widens where it must."""
-        from pyspark.errors import AnalysisException
-
-        try:
-            return joined.withColumns(columns)
-        except AnalysisException as e:
-            raise ExecutionError(f"a new value does not have the type of its property: {', '.join(columns)}") from e
+                self.change.patch_edges(one, changed)
 
     def remove(self, frame: Frame, c: t.Remove) -> Frame:
         staged, _ = self.staged(frame)
@@ -316,8 +301,7 @@ class _Writer:
             if key is not None:
                 if key in _READ_ONLY or (b.kind == "node" and key in _EDGE_TIMES):
                     raise ExecutionError(f"{key} is read-only")
-                kinds = {f.name: f.dataType for df in [e.df for e in self.change.graph().edges] + [n.df for n in self.change.graph().nodes.values()] for f in df.schema.fields}
-                self.update(staged, var, {key: F.lit(None).cast(kinds[key] if key in kinds else "string")})
+                self.update(staged, var, {key: F.lit(None)})
             elif b.kind == "node":
                 self.update(staged, var, {}, label)
             else:
@@ -340,15 +324,12 @@ class _Writer:
         if ids["edge"]:
             gone = reduce(lambda a, b: a.unionByName(b), ids["edge"]).distinct()
             same = (F.col("_id") == F.col("__id")) & (F.col("__type") == F.col("__home"))
-            self.drop_edges(lambda df: df.join(gone, same, "left_semi"), lambda df: df.join(gone, same, "left_anti"))
+            self.drop_edges(lambda df: df.join(gone, same, "left_semi"))
         if ids["node"]:
             gone = reduce(lambda a, b: a.unionByName(b), ids["node"]).distinct()
             at_src, at_dst = ((F.col(x) == F.col("__id")) & (F.col(f"{x}_kind") == F.col("__home")) for x in ("_src", "_dst"))
             if c.detach:
-                self.drop_edges(
-                    lambda df: df.join(gone, at_src, "left_semi").unionByName(df.join(gone, at_dst, "left_semi")).dropDuplicates(["_id"]),
-                    lambda df: df.join(gone, at_src, "left_anti").join(gone, at_dst, "left_anti"),
-                )
+                self.drop_edges(lambda df: df.join(gone, at_src, "left_semi").unionByName(df.join(gone, at_dst, "left_semi")).dropDuplicates(["_id"]))
             else:
                 left = self.change.graph().edge_scan((), set())
                 if not left.join(gone, at_src, "left_semi").limit(1).isEmpty() or not left.join(gone, at_dst, "left_semi").limit(1).isEmpty():
@@ -358,16 +339,16 @@ class _Writer:
                 hit = table.df.join(here, F.col("_id") == F.col("__id"), "left_semi")
                 if not hit.limit(1).isEmpty():
                     self.fire("before", "delete", hit, "node", F.lit(kind))
-                    self.change.replace_nodes(kind, table.df.join(here, F.col("_id") == F.col("__id"), "left_anti"))
+                    self.change.patch_nodes(kind, gone=hit)
         return Frame(staged.df.drop("__row"), staged.scope)
 
-    def drop_edges(self, hit, kept) -> None:
+    def drop_edges(self, hit) -> None:
         for e in self.change.graph().edges:
             typed = e.df.withColumn("__type", F.lit(e.type))
             found = hit(typed).drop("__type")
             if not found.limit(1).isEmpty():
                 self.fire("before", "delete", found, "edge", F.lit(e.type))
-                self.change.replace_edges(e.type, kept(typed).drop("__type"))
+                self.change.patch_edges(e.type, gone=found)
 
     # -- MERGE
 

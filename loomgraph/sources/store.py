@@ -6,8 +6,10 @@ reader never meets half of one, keeps the manifest it began with, and a writer w
 number is taken by another fails, and what it wrote is never listed. Folders that no
 manifest lists are leftovers of broken writes and are ignored, and so is a manifest that
 cannot be read: the newest whole one counts. A node's identity is its kind and its id. Nodes lie in one table for each first
-label (their kind), edges in one for each type, so a change rewrites only the tables it
-touches and new rows are only ever appended.
+label (their kind), edges in one for each type. New rows are only ever appended. Changed
+and deleted rows go to one patch beside a table, which is laid over it when it is read; so
+a statement writes about what it changes, and a table is written anew only when its patch
+has grown to a share of it.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ MEMBER_SYSTEM = "subgraph_id long, node_id long, node_kind string"
 HYPEREDGE_SYSTEM = f"_id long, _type string, _sources array<{ENTITY}>, _targets array<{ENTITY}>, _created_at timestamp"
 #: Stores whose files appear when they are closed; a rename is a copy there.
 _WHOLE = {"s3", "s3a", "s3n", "gs", "oss", "wasb", "wasbs", "abfs", "abfss"}
-#: Folders of one table before an append writes it anew.
-MOST_FOLDERS = 64
+#: Folders of one table before an append writes it anew; the share of a table's bytes that its patch may have.
+MOST_FOLDERS, PATCH_SHARE = 64, 0.25
 
 _EMPTY = {"next_id": 1, "nodes": {}, "edges": {}, "versions": {}, "subgraphs": None, "members": None, "hyperedges": None, "indexes": []}
 
@@ -49,6 +51,10 @@ class Files:
     def path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
+    def size(self, names: list[str]) -> int:
+        """Bytes under some folders."""
+        return sum(self.fs.getContentSummary(self.path(n)).getLength() for n in names)
+
     def names(self) -> list[str]:
         if not self.fs.exists(self.path("")):
             return []
@@ -157,6 +163,8 @@ class LoomStore:
             plain = plain.withColumn("_id", F.col(f"`{id_column}`").cast("long"))
             top = plain.agg(F.max("_id").alias("m")).first()["m"] or 0
             change.manifest["next_id"] = max(change.manifest["next_id"], top + 1)
+            if change.manifest["nodes"].get(label, {}).get("patch"):  # whose deleted rows may come again
+                change.replace_nodes(label, change.graph().nodes[label].df)
         now = F.timestamp_millis(F.lit(now_ms).cast("long"))
         change.append_nodes(label, plain.withColumns({"_labels": F.array(F.lit(label)), "_created_at": now, "_updated_at": now, "_ver": F.lit(0).cast("long")}), [label])
         change.commit()
@@ -247,7 +255,18 @@ class Change:
     # -- reading
 
     def _read(self, entry: dict) -> DataFrame:
-        return self.spark.read.schema(T.StructType.fromJson(entry["schema"])).parquet(*[f"{self.store.root}/{p}" for p in entry["paths"]])
+        """A table's rows, its patch laid over them."""
+        schema = T.StructType.fromJson(entry["schema"])
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.store.root}/{p}" for p in entry["paths"]])
+        if not entry.get("patch"):
+            return rows
+        patch = self._patch(entry)
+        return rows.join(patch.select("_id"), "_id", "left_anti").select(rows.columns).unionByName(patch.where("NOT __gone").drop("__gone"))
+
+    def _patch(self, entry: dict) -> DataFrame:
+        """The newest state of changed rows, and deleted ones (`__gone`); one row an id."""
+        schema = T.StructType.fromJson(entry["schema"]).add("__gone", "boolean")
+        return self.spark.read.schema(schema).parquet(f"{self.store.root}/{entry['patch']}")
 
     def graph(self) -> Graph:
         if self._graph is None:
@@ -341,8 +360,33 @@ class Change:
         path = self.folder()
         rows.write.parquet(f"{self.store.root}/{path}")
         self._graph = None
-        paths = [*entry["paths"], path] if append and entry else [path]
-        return {"paths": paths, "schema": schema.jsonValue()}
+        if append and entry:
+            return {"paths": [*entry["paths"], path], "schema": schema.jsonValue(), "patch": entry.get("patch")}
+        return {"paths": [path], "schema": schema.jsonValue()}
+
+    def _patched(self, entry: dict, system: str, index: list[str], changed: DataFrame | None, gone: DataFrame | None) -> dict:
+        """The table with rows in the state of `changed` and without the ids of `gone`."""
+        self._graph = None
+        rows = self._read(entry).where(F.lit(False)) if changed is None else changed
+        rows, schema, wide = self._aligned(rows, system, entry)
+        if wide:  # a property's type widened, which files in place cannot
+            old, _, _ = self._aligned(self._read(entry), system, {"schema": schema.jsonValue()})
+            return self._put({**entry}, old.join(rows.select("_id"), "_id", "left_anti").select(rows.columns).unionByName(rows), system, False, index)
+        patch = rows.withColumn("__gone", F.lit(False))
+        if gone is not None:
+            patch = patch.unionByName(gone.select("_id", F.lit(True).alias("__gone")), allowMissingColumns=True)
+        new = {**entry, "schema": schema.jsonValue()}
+        path = self.folder()
+        if entry.get("patch"):
+            part = f"{self.store.root}/{self.folder()}"
+            patch.write.parquet(part)
+            patch = self.spark.read.schema(patch.schema).parquet(part)
+            patch = self._patch(new).join(patch.select("_id"), "_id", "left_anti").select(patch.columns).unionByName(patch)
+        patch.write.parquet(f"{self.store.root}/{path}")
+        new["patch"] = path
+        if self.store.files.size([path]) > PATCH_SHARE * self.store.files.size(entry["paths"]):
+            return self._put({**entry}, self._read(new), system, False, index)
+        return new
 
     def _index_keys(self, on: set[str], edge: bool) -> list[str]:
         return [i["key"] for i in self.manifest["indexes"] if i["edge"] == edge and i["on"] in on]
@@ -360,6 +404,14 @@ class Change:
         put = self._put({**entry}, df, NODE_SYSTEM, False, self._index_keys(set(entry["labels"]), False))
         self.manifest["nodes"][kind] = put | {"labels": entry["labels"], "uniform": entry["uniform"] if uniform is None else uniform}
 
+    def patch_nodes(self, kind: str, changed: DataFrame | None = None, gone: DataFrame | None = None, uniform: bool | None = None) -> None:
+        entry = self.manifest["nodes"][kind]
+        put = self._patched(entry, NODE_SYSTEM, self._index_keys(set(entry["labels"]), False), changed, gone)
+        self.manifest["nodes"][kind] = put | {"labels": entry["labels"], "uniform": entry["uniform"] if uniform is None else uniform}
+
+    def patch_edges(self, type: str, changed: DataFrame | None = None, gone: DataFrame | None = None) -> None:
+        self.manifest["edges"][type] = self._patched(self.manifest["edges"][type], EDGE_SYSTEM, self._index_keys({type}, True), changed, gone)
+
     def append_versions(self, kind: str, df: DataFrame) -> None:
         self.manifest["versions"][kind] = self._put(self.manifest["versions"].get(kind), df, NODE_SYSTEM + ", _seq long", True, [])
 
