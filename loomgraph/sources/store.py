@@ -213,6 +213,28 @@ class LoomStore:
         """The last of a node's earlier states; one row or none."""
         return self.versions(kind, id).orderBy(F.desc("_seq")).limit(1)
 
+    def snapshot_edge(self, type: str, id: int) -> int:
+        """Keep an edge's present state as its next version, and give the version's number. Statements
+        keep versions of nodes only."""
+        change = self.begin()
+        now = ops.edge_of(change.graph(), type, id)
+        if now.isEmpty():
+            raise ExecutionError(f"no edge {id} of type {type}")
+        number = 1 + (self.edge_versions(type, id).agg(F.max("_seq").alias("n")).first()["n"] or 0)
+        held = change.manifest.setdefault("edge_versions", {})
+        rows = now.drop("_type").withColumn("_seq", F.lit(number).cast("long"))
+        held[type] = change._put(held.get(type), rows, EDGE_SYSTEM + ", _seq long", True, [])
+        change.commit()
+        return number
+
+    def edge_versions(self, type: str, id: int) -> DataFrame:
+        """The kept states of an edge by `_seq`; no rows without any."""
+        change = self.begin()
+        entry = change.manifest.get("edge_versions", {}).get(type)
+        if entry is None:
+            return self.spark.createDataFrame([], EDGE_SYSTEM + ", _seq long")
+        return change._read(entry).where(F.col("_id") == id)
+
     def indexes(self) -> list[dict]:
         """name, on (label or type), key and edge of every index."""
         return [dict(i) for i in self.manifest()[1]["indexes"]]

@@ -32,8 +32,8 @@ def table_graph(spark: SparkSession, sf_dir: str) -> Graph:
     Nothing is read until a query runs, and then only the columns it uses."""
     t = {n: read(spark, sf_dir, n) for n in SCHEMAS}
     items = t["lineitem"]
-    # order and line number repeat in this table, so an item's id is a hash of the whole row
-    line = F.xxhash64(*items.columns)
+    # rows of this table may be equal, so an item's id is a hash of its place: its file, and its row there
+    line = F.xxhash64("_metadata.file_path", "_metadata.row_index")
     graph = Graph(spark)
     for kind, table, key in (
         ("Region", "region", "r_regionkey"), ("Nation", "nation", "n_nationkey"), ("Customer", "customer", "c_custkey"),

@@ -132,6 +132,34 @@ def test_versions_and_look_ups(db):
     assert values(db.execute("MATCH (a)-[r:R {w: 2}]->(b) RETURN a.n, b.n")) == [(3, 7)]
     db.execute("DROP INDEX by_w")
     assert len(store.indexes()) == 1
+    assert store.edge_versions("R", edge).count() == 0 and store.snapshot_edge("R", edge) == 1
+    db.execute("MATCH (a)-[r:R]->(b) SET r.w = 5")
+    assert store.snapshot_edge("R", edge) == 2 and [r["w"] for r in store.edge_versions("R", edge).orderBy("_seq").collect()] == [2, 5]
+    with pytest.raises(ExecutionError):
+        store.snapshot_edge("R", edge + 99)
+
+
+def test_changes_go_to_a_patch(db, spark):
+    """A changed table is its files and one patch, until the patch is a large share of it."""
+    db.store.load_nodes("N", spark.range(20_000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v"), F.sha2(F.col("id").cast("string"), 256).alias("s")), "k")
+    entry = lambda: db.store.manifest()[1]["nodes"]["N"]
+    before = entry()["paths"]
+    db.execute("MATCH (n:N) WHERE n.k < 10 SET n.v = 100")
+    db.execute("MATCH (n:N) WHERE n.k >= 5 AND n.k < 15 SET n.v = n.v + 1, n.new = 'x'")
+    db.execute("MATCH (n:N) WHERE n.k = 7 OR n.k = 19000 DELETE n")
+    db.execute("CREATE (n:N {k: 20000, v: 1})")
+    assert entry()["patch"] and entry()["paths"][0] == before[0] and len(entry()["paths"]) == 2
+    want = {k: k % 7 for k in range(20_000)} | {20_000: 1}
+    want |= {k: 100 for k in range(5)} | {k: 101 for k in range(5, 10)} | {k: k % 7 + 1 for k in range(10, 15)}
+    del want[7], want[19_000]
+    got = {r["k"]: (r["v"], r["new"]) for r in db.execute("MATCH (n:N) RETURN n.k AS k, n.v AS v, n.new AS new").rows()}
+    assert {k: v for k, (v, _) in got.items()} == want and sorted(k for k, (_, n) in got.items() if n) == [5, 6, 8, 9, *range(10, 15)]
+    db.store.load_nodes("N", spark.createDataFrame([(19_000, 3)], "k long, v long"), "k")
+    assert not entry().get("patch") and len(db.execute("MATCH (n:N {k: 19000}) RETURN n")) == 1
+    db.execute("MATCH (n:N) WHERE n.k = 3 SET n.v = 0.5")  # a wider type
+    assert db.execute("MATCH (n:N {k: 3}) RETURN n.v AS v").rows() == [{"v": 0.5}]
+    db.execute("MATCH (n:N) SET n.v = 7.0")
+    assert not entry().get("patch") and db.store.node_count() == 20_000
 
 
 def test_subgraphs_and_hyperedges_are_deleted(db):
