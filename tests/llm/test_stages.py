@@ -112,7 +112,7 @@ def test_ordinal_fit_is_the_most_likely():
         rows.append(np.array(x, dtype=np.int64))
         grade.append(sum(z > t for t in (0.0, 1.5, 3.0)))
     grade = np.array(grade)
-    model = ordinal.fit(rows, grade, dimensions=4, rounds=2000, sparse=0.0, settled=1e-9)
+    model = ordinal.fit(rows, grade, dimensions=4, rounds=2000, sparse=0.0)
 
     def loss(w, th):
         total = 0.0
