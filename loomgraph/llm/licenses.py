@@ -300,7 +300,8 @@ def scan(docs: DataFrame) -> DataFrame:
     total = places[0]
     for p in places[1:]:
         total = total + p
-    found = F.when(F.col("gated"), _detections(norm, numbered(norm))).otherwise(F.array().cast(f"array<{_DETECTION}>"))
+    once = F.element_at(F.transform(F.array(numbered(norm)), lambda t: _detections(norm, t)), 1)  # numbered once, not for each rule
+    found = F.when(F.col("gated"), once).otherwise(F.array().cast(f"array<{_DETECTION}>"))
     out = out.select(
         "doc_id", "n_words", total.cast("long").alias("n_base"), F.least(*first).cast("long").alias("first_word"),
         F.greatest(*last).cast("long").alias("last_word"), F.array_compact(F.array(*labels)).alias("base"), found.alias("found"),
