@@ -74,23 +74,27 @@ class Files:
         part = self.path(f".{name}.{uuid.uuid4().hex}")
         self._write(part, text)
         try:
-            if self.fs.getScheme() == "file":
-                files = self.jvm.java.nio.file
-                target, made = (files.Paths.get(self.fs.makeQualified(p).toUri().getPath(), self._none()) for p in (self.path(name), part))
-                files.Files.createLink(target, made)
-            else:
-                context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(part.toUri(), self.fs.getConf())
-                context.rename(part, self.path(name), self.spark._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0))
-            return True
-        except Exception as e:
-            if "AlreadyExists" in str(e) or "already exists" in str(e):
-                return False
-            raise
+            for step in (self._link, self._rename) if self.fs.getScheme() == "file" else (self._rename,):
+                try:
+                    step(part, self.path(name))
+                    return True
+                except Exception as e:
+                    if "AlreadyExists" in str(e) or "already exists" in str(e):
+                        return False
+                    if step == self._rename:  # a disk without hard links takes the other way
+                        raise
         finally:
             self.fs.delete(part, False)
+        return False
+
+    def _link(self, part, target) -> None:
+        files = self.jvm.java.nio.file
+        made, wanted = (files.Paths.get(self.fs.makeQualified(p).toUri().getPath(), self.spark._gateway.new_array(self.jvm.java.lang.String, 0)) for p in (part, target))
+        files.Files.createLink(wanted, made)
 
-    def _none(self):
-        return self.spark._gateway.new_array(self.jvm.java.lang.String, 0)
+    def _rename(self, part, target) -> None:
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.makeQualified(part).toUri(), self.fs.getConf())
+        context.rename(part, target, self.spark._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0))
 
     def _write(self, path, text: str) -> bool:
         try:

@@ -77,6 +77,14 @@ def test_one_of_many_writers_takes_a_number(db):
     assert len(won) == 1 and store.files.read("manifest-000000007.json") == f'{{"by": {won[0]}}}'
 
 
+def test_manifests_without_hard_links(db):
+    files = db.store.files
+    db.execute("CREATE (n:P)")
+    files._link = lambda part, target: (_ for _ in ()).throw(RuntimeError("no links here"))
+    assert files.create("manifest-000000009.json", "{}") and not files.create("manifest-000000009.json", "[]")
+    assert files.read("manifest-000000009.json") == "{}"
+
+
 def test_hooks_wait_for_the_commit(db):
     class Watch(Trigger):
         name = "watch"
