@@ -77,6 +77,17 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == HELD_OUT_CLASS, F.lit(False))
 
 
+def give_back() -> None:
+    """Return memory that nothing uses to the machine: workers wait for further tasks beside those that run."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library, which has its own ways
+
+
 def map_text(
     df: DataFrame, fn: Callable[[list], dict[str, list]], schema: str, rows: int = 1000, after: Callable[[], None] | None = None
 ) -> DataFrame:
@@ -106,6 +117,7 @@ def map_text(
         finally:
             if after is not None:
                 after()
+            give_back()
 
     return df.mapInArrow(run, spark_schema)
 

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_labelled, held_out, map_text, text_or_empty
+from .common import bounded_labelled, give_back, held_out, map_text, text_or_empty
 
 #: Columns of the hashed feature space; labelled rows that a model is fitted on at most.
 DIMENSIONS, SAMPLE = 1 << 18, 6_000
@@ -268,5 +268,7 @@ def keep(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
                 part = batch.slice(at, 1000)
                 good = [held.score(features.of(t or "")) >= threshold for t in part.column(at_text).to_pylist()]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(part.filter(pa.array(good)).columns, arrow, strict=True)], schema=arrow)
+        del features
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_often, map_text, text_or_empty
+from .common import cut, give_back, join_often, map_text, text_or_empty
 from .components import connected_components
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -248,6 +248,8 @@ def _by_group(rows: DataFrame, columns: list[str], schema: pa.Schema, ddl: str,
             got = flush(True)
             if got is not None:
                 yield got
+        del held
+        give_back()
 
     dealt = rows.select("key", "unit", *columns).repartition("key", "unit").sortWithinPartitions("key", "unit")
     return dealt.mapInArrow(run, ddl)

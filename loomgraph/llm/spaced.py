@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, give_back, text_or_empty
 
 #: Words of an overlap at least (or the whole item, if it is shorter), and the share that agrees.
 LEAST_WORDS, AGREE = 13, 0.8
@@ -266,6 +266,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
                     part = batch.slice(at, 1000)
                     free = [not held.overlaps(hasher.of(words_of(t or "")), first=True) for t in part.column(at_text).to_pylist()]
                     yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(part.filter(pa.array(free)).columns, arrow, strict=True)], schema=arrow)
+            del hasher
+            give_back()
 
         left = kept[0].mapInArrow(run, docs.schema)
         kept[0] = left if alone else cut(left, "without-overlaps")
